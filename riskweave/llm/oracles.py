@@ -1,3 +1,53 @@
 """DuckDB SQL of the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from riskweave.llm import urls
+
+
+def _url_sql() -> str:
+    hosts = {(h, p): v for v, h, p in urls.RULES}
+    ordered = sorted(hosts, key=lambda r: -len(r[0] + r[1]))
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for h, p in ordered) + " END"
+    by_rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{hosts[h, p]}'" for h, p in ordered) + " END"
+    levels, at = [], "t0"
+    for k in range(1, urls.DEPTH + 1):
+        levels.append(f"""
+        c{k} AS (SELECT *, coalesce(segs[{k + 1}], '') AS child FROM {at}),
+        k{k} AS (SELECT host, node, child, sum(n) AS c_n, sum(lab) AS c_lab, sum(bad) AS c_bad FROM c{k} GROUP BY ALL),
+        p{k} AS (SELECT host, node, sum(c_n) AS p_n, sum(c_lab) AS p_lab, sum(c_bad) AS p_bad, count(*) AS kids FROM k{k} GROUP BY ALL),
+        s{k} AS (SELECT k.host, k.node, k.child, CASE WHEN (kids >= {urls.MANY} AND p_n <= {urls.RARE} * kids)
+                   OR pow((c_bad * p_lab - p_bad * c_lab)::DOUBLE, 2) <= (4 * p_bad * (p_lab - p_bad) * c_lab)::DOUBLE THEN '*' ELSE k.child END AS "to"
+                 FROM k{k} k JOIN p{k} p USING (host, node)),
+        t{k} AS (SELECT c.host, shape, n, lab, bad, segs, c.node || '/' || "to" AS node FROM c{k} c JOIN s{k} s ON c.host = s.host AND c.node = s.node AND c.child = s.child)""")
+        at = f"t{k}"
+    return f"""
+    WITH rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+    parts AS (SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+    seen AS (SELECT *, {rule} AS rule, {by_rule} AS by_rule,
+                    regexp_replace(regexp_replace(regexp_replace(path, '[0-9a-f]{{8,}}', '{{x}}', 'g'), '[A-Za-z0-9_-]{{24,}}', '{{s}}', 'g'), '[0-9]+', '{{n}}', 'g') AS shape
+             FROM parts),
+    marks AS (SELECT doc_id AS page_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS is_bad FROM labels
+              WHERE doc_id IS NOT NULL AND (toxic IS NOT NULL OR quality IS NOT NULL) GROUP BY doc_id),
+    marked AS (SELECT host, shape, CASE WHEN is_bad IS NULL THEN 0 ELSE 1 END AS labelled, coalesce(is_bad, 0) AS bad FROM seen LEFT JOIN marks USING (page_id)),
+    t0 AS (SELECT host, shape, count(*) AS n, sum(labelled) AS lab, sum(bad) AS bad, string_split(shape, '/') AS segs, '' AS node FROM marked GROUP BY host, shape),
+    {",".join(levels)},
+    counts AS (SELECT host, node, sum(lab) AS t_lab, sum(bad) AS t_bad FROM {at} GROUP BY ALL),
+    prior AS (SELECT sum(bad)::DOUBLE / greatest(sum(labelled), 1) AS p FROM marked)
+    SELECT s.page_id, s.host, s.path, s.rule, t.node AS template,
+           coalesce(s.by_rule, CASE WHEN (c.t_bad + {urls.PRIOR} * prior.p) / (c.t_lab + {urls.PRIOR}) >= {urls.PURITY} THEN 'block' ELSE 'allow' END) AS verdict
+    FROM seen s JOIN {at} t ON s.host = t.host AND s.shape = t.shape JOIN counts c ON t.host = c.host AND t.node = c.node, prior
+    """
+
+
+ORACLES: dict[str, str] = {
+    "op5_url_filter": _url_sql(),
+    "op8_exact_top_k": """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+               WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+              FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
+}

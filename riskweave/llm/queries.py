@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from riskweave.llm.common import table
 from riskweave.llm.langid import held_out, predict, train
 from riskweave.llm.packing import pack
+from riskweave.llm.search import top_k
 from riskweave.llm.secrets import secret_spans
+from riskweave.llm.urls import judge
 
 
 def tokenizer_path() -> str:
@@ -28,16 +30,26 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "text", held_out().alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
+    "op5_url_filter": op5_url_filter,
     "op6_secret_scan": op6_secret_scan,
+    "op8_exact_top_k": op8_exact_top_k,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
