@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from riskweave.llm import forest, sketch
 from riskweave.llm.common import table
-from riskweave.llm.forest import near_duplicates
 from riskweave.llm.langid import held_out, predict, train
 from riskweave.llm.packing import pack
 from riskweave.llm.search import top_k
@@ -26,7 +26,11 @@ def tokenizer_path() -> str:
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "embeddings"))
+    return forest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +57,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_language_id": op4_language_id,
     "op5_url_filter": op5_url_filter,
     "op6_secret_scan": op6_secret_scan,
