@@ -73,4 +73,13 @@ ORACLES: dict[str, str] = {
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs)
     SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
     """,
+    "op9_substring_dedup": """
+    WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+    win AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(ws[i : i + 12], ' ')) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+    low AS (SELECT g, min(doc_id) AS d FROM win GROUP BY g),
+    hit AS (SELECT doc_id, i FROM win JOIN low USING (g) WHERE low.d < doc_id),
+    gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 13)))) AS places FROM hit GROUP BY doc_id),
+    kept AS (SELECT doc_id, ws, list_filter(ws, lambda x, k: NOT list_contains(coalesce(places, []), k)) AS ks FROM w LEFT JOIN gone USING (doc_id))
+    SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - len(ks))::BIGINT AS n_removed, sha256(array_to_string(ks, ' ')) AS kept_sha256 FROM kept
+    """,
 }
