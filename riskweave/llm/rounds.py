@@ -78,14 +78,15 @@ def answered(answers: pa.Table) -> dict[int, bytes]:
     return {stage: b"".join(x) for stage, x in out.items()}
 
 
-def answer(asked: DataFrame, reply: Callable[[list[np.ndarray], list[bytes]], list[bytes]]) -> DataFrame:
-    """reply(keys of each block's row, their loads) gives one byte string per row."""
+def answer(asked: DataFrame, reply: Callable[..., list[bytes]], staged: bool = False) -> DataFrame:
+    """reply(keys of each block's row, their loads, and if staged their stages) gives one byte string per row."""
 
     def bucket(table: pa.Table) -> pa.Table:
         given = table["load"].to_pylist()
-        rows = [i for i, stage in enumerate(table["stage"].to_pylist()) if stage != NOTE]
+        stages = table["stage"].to_pylist()
+        rows = [i for i, stage in enumerate(stages) if stage != NOTE]
         keys = table["keys"].take(pa.array(rows, pa.int64())).to_pylist()
-        replies = reply([np.frombuffer(k, np.uint64) for k in keys], [given[i] for i in rows]) if rows else []
+        replies = reply([np.frombuffer(k, np.uint64) for k in keys], [given[i] for i in rows], *([[stages[i] for i in rows]] if staged else [])) if rows else []
         for i, r in zip(rows, replies, strict=True):
             given[i] = r
         return table.select(["blk", "bucket", "stage"]).append_column("answer", pa.array(given, pa.binary()))
