@@ -114,10 +114,11 @@ class Block:
     """The documents of a block: their words' hashes, and on demand windows and revealing keys."""
 
     def __init__(self, table: pa.Table, reveal: bool = True):
+        table = rounds.ordered(table)
         self.ids = table["doc_id"].to_pylist()
         self.rank = np.array([-1 if i is None else i for i in self.ids], np.int64)
         named = np.array([i is not None for i in self.ids], bool)
-        data, offsets = text_buffer(table["text"].combine_chunks())
+        data, offsets = text_buffer(table["text"].chunk(0) if len(table) else pa.array([], pa.string()))
         hashes, counts, starts, keys, docs = [], [np.zeros(1, np.int64)], [], [], []
         at = 0
         for a, b in chunks(offsets):

@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,11 @@ def blocks_of(docs: DataFrame) -> tuple[DataFrame, int]:
     return docs.withColumn("blk", where), max(3, (2 * n - 1).bit_length())
 
 
+def ordered(table: pa.Table) -> pa.Table:
+    """A block's rows in the same order in every pass, however the shuffle brought them."""
+    return table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")])).combine_chunks()
+
+
 def questions(blk: int, stage: int, bits: int, keys: np.ndarray, load: list[bytes] | np.ndarray) -> list[tuple]:
     """Rows of a block's ascending keys; load: one row of bytes, or a byte string, per key."""
     if not len(keys):

@@ -256,8 +256,9 @@ class Block:
     """A block's texts with the representatives of all their strings."""
 
     def __init__(self, table: pa.Table, represent: bool = True):
+        table = rounds.ordered(table)
         self.ids = table["doc_id"].to_pylist()
-        self.data, self.offsets = text_buffer(table["text"].combine_chunks())
+        self.data, self.offsets = text_buffer(table["text"].chunk(0) if len(table) else pa.array([], pa.string()))
         if not represent:
             return
         parts: list[list] = [[], [], [], []]
