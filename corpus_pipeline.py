@@ -1,11 +1,65 @@
-"""A training corpus from documents: one pass through five of the operators."""
+"""A training corpus from documents: five of the operators, each on what the one before kept.
 
-STAGES: list = []
+Language ID drops documents without a recognisable language; near-dedup keeps one document
+of each group of 0.8 similarity or more; the secret scan masks what it finds; mixing thins
+or repeats documents to the target weights; packing gives the token sequences.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from riskweave.llm import langid, mixing, packing, secrets, sketch
+from riskweave.llm.common import table, written
+from riskweave.llm.queries import tokenizer_path
+
+SIMILAR_PERCENT = 80
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; und (null text, or no letter in it) goes."""
+    teaches = F.col("lang").isNotNull()
+    return langid.predict(docs, langid.train(docs, teaches)).filter(F.col("lang_pred") != "und").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of each group; rows without a doc_id link with nothing and stay."""
+    kept = sketch.near_duplicates(docs, SIMILAR_PERCENT).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
+    one = docs.join(kept, F.col("doc_id").cast("long") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked and n_chars of the masked text."""
+    masked = secrets.mask_secrets(docs)
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else masked
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn by their rates to the target weights of the labelled domains."""
+    return mixing.resampled(docs, table(spark, sf_dir, "labels"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("minhash_near_dedup", near_dedup),
+    ("secret_scan", secret_scan),
+    ("mixing", mix),
+    ("best_fit_packing", pack),
+]
+#: Classifiers, sketches and packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text bytes that one vectorised step takes; a longer document is a step of its own.
 CHUNK_BYTES = 2 << 20
@@ -150,6 +151,11 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def extended(df: DataFrame, **more: str) -> T.StructType:
+    """df's schema with further columns; the schema of df itself stays as it is."""
+    return T.StructType([*df.schema.fields, *(T.StructField(n, T._parse_datatype_string(k)) for n, k in more.items())])
+
+
 def by_id(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Only the two columns an operator reads, so that others of any name can't clash."""
     return df.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
