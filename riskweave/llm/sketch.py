@@ -1,15 +1,16 @@
 """Near-duplicates on word shingles by SetSketch registers.
 
-A document's set is its distinct 5-word shingles, as 64-bit hashes. Each of REGISTERS hash
-functions gives an exponentially distributed minimum over the set, kept as a truncated
-exponent to the base B (a register); the registers of a union are the larger ones. Bands of
-registers propose pairs; a joint likelihood over the registers that are larger, smaller and
-equal discards proposals that are far too unlike; the rest is confirmed on the full sets.
-
-Equal sets are one class from the start. In a band's bucket every class is first held
-against the bucket's smallest class only. Buckets whose classes then still lie in different
-components have all pairs across components compared, so no link between components is lost
-and a group of copies is not expanded into its pairs.
+A document's set is its distinct 5-word shingles, as 64-bit hashes. Each hash function gives
+an exponentially distributed minimum over the set, kept as a truncated exponent to the base
+B (a register); the registers of a union are the larger ones. Bands of registers propose
+pairs; a joint likelihood over the registers that are larger, smaller and equal discards
+proposals that are far too unlike; the rest is confirmed on the full sets.
+
+Equal sets are one class from the start. In a band's bucket every class is held against the
+bucket's smallest class only. Classes that buckets tie together, directly or through others,
+are a clump; where a clump still falls into several components, every class outside its
+largest one is compared with all of the clump, on full sets, block by block inside tasks
+that put out spanning links only. So no link is lost and no pairs are written out.
 
 Defined cases: a null text, or one without words, has no shingles and links with nothing; so
 does a row with a null doc_id (its component is null). Rows that share a doc_id are one
@@ -27,16 +28,23 @@ from riskweave.llm.common import by_id, chunks, gram_hash, mix, prefix_hash, sig
 from riskweave.llm.components import components
 
 SHINGLE = 5
-BANDS, ROWS = 21, 3
-REGISTERS = BANDS * ROWS
+#: Bands and registers of a band from a similarity (in percent) on: pairs just there miss all bands less than twice in 100,000.
+PLANS = ((85, 32, 7), (0, 36, 6))
+MOST = 224
 #: SetSketch's base, rate and largest register.
 B, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 2
 #: A proposal goes if the best admissible similarity is less likely than the best one by this many nats.
 UNLIKELY = 15.0
 
 _rng = np.random.default_rng(11)
-_FLIP = _rng.integers(0, 1 << 63, REGISTERS, np.uint64)
-_MULT = _rng.integers(0, 1 << 62, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
+_FLIP = _rng.integers(0, 1 << 63, MOST, np.uint64)
+_MULT = _rng.integers(0, 1 << 62, MOST, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Classes of a block of outsiders and of a clump, and rows of a task of many small clumps.
+OUTSIDE, INSIDE, TASK_ROWS = 256, 512, 2000
+
+
+def plan(percent: int) -> tuple[int, int]:
+    return next((bands, rows) for least, bands, rows in PLANS if percent >= least)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -53,15 +61,15 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def registers(shingles: np.ndarray) -> np.ndarray:
-    least = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
-    for a in range(0, len(shingles), 2048):
-        np.minimum(least, ((shingles[a : a + 2048, None] ^ _FLIP) * _MULT).min(0), out=least)
+def registers(shingles: np.ndarray, count: int = MOST) -> np.ndarray:
+    least = np.full(count, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(shingles), 512):
+        np.minimum(least, ((shingles[a : a + 512, None] ^ _FLIP[:count]) * _MULT[:count]).min(0), out=least)
     x = -np.log1p(-(least.astype(float) + 0.5) / 2.0**64) / RATE
     return np.clip(np.floor(1 - np.log(np.maximum(x, 1e-300)) / np.log(B)), 0, LIMIT).astype("<u2")
 
 
-def _sketch(batches):
+def _sketch(batches, count: int):
     """mapInArrow: (doc_id, text) to doc_id, n, two sums that name the set, registers."""
     for batch in batches:
         data, offsets = text_buffer(batch.column(1))
@@ -71,19 +79,20 @@ def _sketch(batches):
                 n.append(len(s))
                 f1.append(s.sum(dtype=np.uint64))
                 f2.append(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
-                regs.append(registers(s).tobytes() if len(s) else b"")
+                regs.append(registers(s, count).tobytes() if len(s) else b"")
         f1, f2 = (pa.array(signed(np.array(f, np.uint64))) for f in (f1, f2))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), f1, f2, pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "regs"])
 
 
-def _band_rows(batches):
-    """mapInArrow: (cls, n, regs) to one row per band: its key and the class."""
-    place = np.arange(BANDS, dtype=np.int64) << 48
-    shift = np.left_shift(1, 16 * np.arange(ROWS), dtype=np.int64)
+def _band_rows(batches, bands: int, rows: int):
+    """mapInArrow: (cls, n, regs) to one row per band: its key, the class and its size."""
     for batch in batches:
-        regs = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(-1, BANDS, ROWS)
-        keys = (regs.astype(np.int64) * shift).sum(2) + place
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(c.take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS))) for c in batch.columns)], names=["key", "cls", "n", "regs"])
+        regs = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(-1, bands, rows)
+        keys = np.arange(bands, dtype=np.uint64)[None, :]
+        for k in range(rows):
+            keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + regs[:, :, k])
+        each = pa.array(np.repeat(np.arange(batch.num_rows), bands))
+        yield pa.RecordBatch.from_arrays([pa.array(signed(keys.ravel())), batch.column(0).take(each), batch.column(1).take(each)], names=["key", "cls", "n"])
 
 
 def similarity_loglik(r: np.ndarray, s: np.ndarray, nr: np.ndarray, ns: np.ndarray, grid: np.ndarray) -> np.ndarray:
@@ -105,7 +114,7 @@ def _likely(batches, percent: int):
         if not batch.num_rows:
             continue
         na, nb = (np.asarray(batch.column(i), float) for i in (2, 3))
-        ra, rb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, REGISTERS) for i in (4, 5))
+        ra, rb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(batch.num_rows, -1) for i in (4, 5))
         keep = np.zeros(batch.num_rows, bool)
         for i in range(0, batch.num_rows, 2000):
             j = slice(i, i + 2000)
@@ -133,17 +142,14 @@ def _confirm(batches, percent: int):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _proposed(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs a, b that their sizes and registers admit. pairs: a, b, n_a, n_b, regs_a, regs_b."""
-    fits = pairs.filter((F.col("a") != F.col("b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
-    return written(fits.mapInArrow(lambda it: _likely(it, percent), "a long, b long").distinct())
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, shingles: the distinct sets of the documents named by ids (one column, id)."""
+    texts = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+    return written(texts.mapInArrow(_sets, "id long, shingles binary"))
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are as similar as asked."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text")
-    sets = written(texts.mapInArrow(_sets, "id long, shingles binary"))
     with_a = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "s_a"}), "a")
     with_b = with_a.join(sets.withColumnsRenamed({"id": "b", "shingles": "s_b"}), "b").select("a", "b", "s_a", "s_b")
     return written(with_b.mapInArrow(lambda it: _confirm(it, percent), "a long, b long").distinct())
@@ -152,7 +158,8 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; links at a similarity of percent/100 or more."""
     docs = by_id(docs, "doc_id")
-    sig = written(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, f1 long, f2 long, regs binary"))
+    bands, rows = plan(percent)
+    sig = written(docs.mapInArrow(lambda it: _sketch(it, bands * rows), "doc_id long, n_shingles long, f1 long, f2 long, regs binary"))
     name = ["n_shingles", "f1", "f2"]
     classes = sig.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*name).agg(F.min("doc_id").alias("cls"), F.first("regs").alias("regs"))
     classes = written(classes)
@@ -172,27 +179,62 @@ def _own_ids(sig: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    bands = classes.select("cls", F.col("n_shingles").alias("n"), "regs").mapInArrow(_band_rows, "key long, cls long, n long, regs binary")
-    head = F.min_by(F.struct(F.col("cls").alias("hub"), F.col("n").alias("n_hub"), F.col("regs").alias("regs_hub")), "cls")
-    hubs = bands.groupBy("key").agg(head.alias("h"), F.count("*").alias("many")).filter("many > 1").select("key", "h.*")
-    hubs = written(hubs)
-    met = bands.join(hubs, "key").select(F.col("hub").alias("a"), F.col("cls").alias("b"), F.col("n_hub").alias("n_a"), F.col("n").alias("n_b"), F.col("regs_hub").alias("regs_a"), F.col("regs").alias("regs_b"))
-    tried = _proposed(met, percent)
-    links = _confirmed(docs, tried, percent)
-    # buckets that still hold classes of different components: all pairs across them
-    whole = components(links)
-    inside = bands.join(hubs.select("key"), "key", "left_semi").join(whole, F.col("cls") == F.col("id"), "left")
-    inside = written(inside.select("key", "cls", "n", "regs", F.coalesce("component", "cls").alias("c")))
-    split = inside.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
-    split = written(split)
-    if split.isEmpty():
-        return links
-    rest = inside.join(split, "key", "left_semi")
-    groups = rest.select("key", "c").distinct()
-    cross = groups.select("key", F.col("c").alias("c_a")).join(groups.select("key", F.col("c").alias("c_b")), "key").filter("c_a < c_b")
-    side = lambda x: rest.select("key", F.col("c").alias("c_" + x), F.col("cls").alias(x), F.col("n").alias("n_" + x), F.col("regs").alias("regs_" + x))
-    pairs = cross.join(side("a"), ["key", "c_a"]).join(side("b"), ["key", "c_b"]).select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
-    new = _proposed(pairs, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    new = written(new.join(known, ["a", "b"], "left_anti"))
-    return links.unionByName(_confirmed(docs, new, percent))
+    bands, rows = plan(percent)
+    sized = classes.select("cls", F.col("n_shingles").alias("n"), "regs")
+    banded = sized.mapInArrow(lambda it: _band_rows(it, bands, rows), "key long, cls long, n long")
+    hubs = banded.groupBy("key").agg(F.min("cls").alias("hub"), F.count("*").alias("many")).filter("many > 1").select("key", "hub")
+    star = written(banded.join(written(hubs), "key").filter("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct())
+    head = sized.groupBy(F.col("cls").alias("id")).agg(F.first("n").alias("n"), F.first("regs").alias("regs"))
+    side = lambda x: head.select(F.col("id").alias(x), F.col("n").alias("n_" + x), F.col("regs").alias("regs_" + x))
+    met = star.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    tried = written(met.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(lambda it: _likely(it, percent), "a long, b long"))
+    clumps = written(components(star))
+    sets = _sets_of(docs, clumps.select("id"))
+    links = _confirmed(sets, tried, percent)
+    return links.unionByName(_across(sets, clumps.withColumnRenamed("component", "clump"), components(links), percent))
+
+
+def _across(sets: DataFrame, clumps: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
+    """Links between components of one clump: classes outside its largest component against all of it."""
+    member = written(clumps.join(linked, "id", "left").select("id", "clump", F.coalesce("component", "id").alias("comp")))
+    count = member.groupBy("clump", "comp").agg(F.count("*").alias("n"))
+    shape = count.groupBy("clump").agg(F.max(F.struct("n", F.col("comp").alias("main"))).alias("top"), F.sum("n").alias("whole"), F.count("*").alias("comps"))
+    shape = shape.filter("comps > 1").select("clump", "top.main", F.ceil(F.col("whole") / INSIDE).cast("int").alias("ins"), F.ceil((F.col("whole") - F.col("top.n")) / OUTSIDE).cast("int").alias("outs"))
+    open_ = written(member.join(written(shape), "clump"))
+    at = lambda parts, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    inner = open_.withColumns({"inside": at("ins", 1), "side": F.lit(0)}).withColumn("outside", every("outs"))
+    outer = open_.filter("comp <> main").withColumns({"outside": at("outs", 2), "side": F.lit(1)}).withColumn("inside", every("ins"))
+    names = ["clump", "outside", "inside", "side", "id", "comp"]
+    dealt = written(inner.select(*names).unionByName(outer.select(*names)))
+    tasks = F.pmod(F.xxhash64("clump", "outside", "inside"), F.lit(max(1, dealt.count() // TASK_ROWS))).cast("int")
+    full = dealt.withColumn("task", tasks).join(sets, "id").select("task", *names, "shingles")
+    return written(full.groupBy("task").applyInArrow(lambda t: _compare(t, percent), "a long, b long").distinct())
+
+
+def _compare(table: pa.Table, percent: int) -> pa.Table:
+    """One task's blocks: a link from each outsider to one class of each other component it is like."""
+    frame = table.drop_columns(["shingles"]).to_pandas()
+    sets = [np.frombuffer(s, np.uint64) for s in table["shingles"].to_pylist()]
+    size = np.array([len(s) for s in sets])
+    found: set[tuple[int, int]] = set()
+    for _, part in frame.groupby(["clump", "outside", "inside"], sort=True):
+        rows = part.index.to_numpy()
+        inner, outer = rows[part["side"].to_numpy() == 0], rows[part["side"].to_numpy() == 1]
+        if not len(inner) or not len(outer):
+            continue
+        flat = np.concatenate([sets[i] for i in inner])
+        kinds, number = np.unique(flat, return_inverse=True)
+        starts = np.cumsum(size[inner]) - size[inner]
+        here, comp, ids = np.zeros(len(kinds), bool), frame["comp"].to_numpy(), frame["id"].to_numpy()
+        for o in outer.tolist():
+            at = np.minimum(np.searchsorted(kinds, sets[o]), len(kinds) - 1)
+            at = at[kinds[at] == sets[o]]
+            here[at] = True
+            both = np.add.reduceat(here[number].astype(np.int32), starts)
+            here[at] = False
+            like = (both > 0) & (100 * both >= percent * (size[inner] + size[o] - both)) & (comp[inner] != comp[o])
+            _, first = np.unique(comp[inner[like]], return_index=True)
+            found.update((int(ids[o]), int(ids[i])) for i in inner[like][first])
+    a, b = zip(*sorted(found), strict=True) if found else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
