@@ -37,12 +37,15 @@ SHALLOW = 96
 HOT, PAIRS = 2000, 48
 
 
-def representatives(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """place, first, last and gram hash: the string starts first to last are represented by place."""
+def representatives(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """place, first, last, gram hash and name: the string starts first to last are represented by place.
+
+    The name is a hash of the stretch that these strings cover and of the place in it.
+    """
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < LENGTH:
-        return none, none, none, np.zeros(0, np.uint64)
+        return none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     sums, m = prefix_hash(data), n - GRAM + 1
     grams = mix((sums[GRAM:] - sums[:m]) * powers(n)[1][:m])
     low = np.uint64(m.bit_length())
@@ -66,7 +69,8 @@ def representatives(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     first, last = at[:-1], at[1:] - 1
     kept = place[first] >= 0
     first, last = first[kept], last[kept]
-    return place[first], first, last, grams[place[first]]
+    at = place[first]
+    return at, first, last, grams[at], mix(span_hash(sums, first, last + LENGTH) ^ (at - first).astype(np.uint64))
 
 
 def _blind_trie(strings: list[bytes]) -> list[int]:
@@ -261,14 +265,25 @@ class Block:
         self.data, self.offsets = text_buffer(table["text"].chunk(0) if len(table) else pa.array([], pa.string()))
         if not represent:
             return
-        parts: list[list] = [[], [], [], []]
+        parts: list[list] = [[], [], [], [], []]
         for a, b in chunks(self.offsets):
             base = self.offsets[a]
             found = representatives(self.data[base : self.offsets[b]], self.offsets[a : b + 1] - base)
             for k, x in enumerate(found):
                 parts[k].append(x + base if k < 3 else x)
         self.place, self.first, self.last = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts[:3])
-        self.grams = np.concatenate(parts[3]) if parts[3] else np.zeros(0, np.uint64)
+        self.grams, self.names = (np.concatenate(p) if p else np.zeros(0, np.uint64) for p in parts[3:])
+
+    def string_names(self, starts: np.ndarray) -> np.ndarray:
+        """Hashes of the strings at ascending starts, a chunk of text at a time."""
+        out = np.zeros(len(starts), np.uint64)
+        for a, b in chunks(self.offsets):
+            base, end = self.offsets[a], self.offsets[b]
+            i, j = np.searchsorted(starts, [base, end])
+            if i < j:
+                mine = starts[i:j] - base
+                out[i:j] = span_hash(prefix_hash(self.data[base:end]), mine, mine + LENGTH)
+        return out
 
 
 def _gram_question(blk: int, table: pa.Table, bits: int) -> list[tuple]:
@@ -296,10 +311,9 @@ def _stretch_question(blk: int, table: pa.Table, answers: dict[int, bytes], bits
     block = Block(table)
     _, which = np.unique(block.grams, return_inverse=True)
     code = np.frombuffer(answers.get(1, b""), np.uint8)[which] if len(which) else np.zeros(0, np.uint8)
-    sums = prefix_hash(block.data)
     mine = np.flatnonzero(code == 1)
     first, last, gram, off = block.first[mine], block.last[mine], block.grams[mine], (block.place - block.first)[mine]
-    name = mix(span_hash(sums, first, last + LENGTH) ^ off.astype(np.uint64))
+    name = block.names[mine]
     order = np.lexsort((name, gram))
     new = np.ones(len(mine), bool)
     new[1:] = (gram[order][1:] != gram[order][:-1]) | (name[order][1:] != name[order][:-1])
@@ -315,7 +329,7 @@ def _stretch_question(blk: int, table: pa.Table, answers: dict[int, bytes], bits
     hot = np.flatnonzero(code == 2)
     sizes = (block.last - block.first + 1)[hot]
     starts = np.repeat(block.first[hot] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    names, number, times = np.unique(span_hash(sums, starts, starts + LENGTH), return_inverse=True, return_counts=True)
+    names, number, times = np.unique(block.string_names(starts), return_inverse=True, return_counts=True)
     rows += rounds.questions(blk, 3, bits, names, times.astype("<u4"))
     if len(mine) or len(hot):
         parts = np.array([len(mine), len(starts)]), first, last - first + 1, item, starts, number
