@@ -1,53 +1,23 @@
-"""Scratch tables, Arrow text access and vectorised word hashing shared by the operators."""
+"""Arrow text access and vectorised word hashing shared by the operators."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskweave.sources.scratch import written
+
+__all__ = ["by_id", "chunks", "extended", "gram_hash", "mix", "powers", "prefix_hash", "shards", "signed", "span_hash", "table", "text_buffer", "words", "written"]
+
 #: Text bytes that one vectorised step takes; a longer document is a step of its own.
 CHUNK_BYTES = 2 << 20
 #: The white space of the word contracts: blank and 0x09 to 0x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_roots: set[str] = set()
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir, which all executors share.
-
-    Only where that setting is absent (tests, a laptop) a folder of ours takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    root = f"{base.rstrip('/')}/riskweave-{spark.sparkContext.applicationId}"
-    if root not in _roots:
-        _roots.add(root)
-        atexit.register(_remove, spark, root)
-    return root
-
-
-def _remove(spark: SparkSession, root: str) -> None:
-    try:
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the session is gone; its cluster's clean-up owns the folder
-        pass
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
