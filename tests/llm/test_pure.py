@@ -1,0 +1,178 @@
+"""The operators' local steps against plain versions of them."""
+
+import hashlib
+import math
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from riskweave.llm import langid, mixing, packing, recompress, search, secrets, sketch, suffix
+from riskweave.llm.common import chunks, text_buffer, words
+from riskweave.llm.queries import tokenizer_path
+
+texts = st.lists(st.text(alphabet="ab \t\n\x0bÉß", max_size=40) | st.none(), max_size=8)
+
+
+@given(texts)
+@settings(max_examples=50, deadline=None)
+def test_words_are_those_of_the_contract(docs):
+    data, offsets = text_buffer(pa.array(docs, pa.string()))
+    starts, ends, bounds = words(data, offsets)
+    raw = data.tobytes()
+    for k, doc in enumerate(docs):
+        found = [raw[a:b].decode() for a, b in zip(starts[bounds[k] : bounds[k + 1]], ends[bounds[k] : bounds[k + 1]], strict=True)]
+        assert found == re.findall(r"[^\x20\x09-\x0D]+", doc or "")
+
+
+def test_chunks_cover_all_rows_and_long_ones_stand_alone():
+    offsets = np.array([0, 5, 5, 30, 32, 33])
+    assert list(chunks(offsets, 6)) == [(0, 2), (2, 3), (3, 5)]
+
+
+@given(st.lists(st.binary(min_size=240, max_size=240), min_size=2, max_size=30))
+@settings(max_examples=30, deadline=None)
+def test_deep_shallow_sorts(rows):
+    rows = [b"x" * 120 + r[:120] for r in rows] + rows + rows[:3]
+    matrix = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), 240)
+    order = suffix.deep_shallow(matrix)
+    assert [rows[i] for i in order] == sorted(rows)
+    for k, n in enumerate(suffix.common_prefixes(matrix, order)):
+        a, b = rows[order[k]], rows[order[k + 1]]
+        assert a[:n] == b[:n] and (n == 240 or a[n] != b[n])
+
+
+def test_blind_trie_keeps_equal_strings_together():
+    strings = [b"abcd", b"abce", b"abcd", b"bbcd", b"aacd", b"abcd"]
+    assert [strings[i] for i in suffix._blind_trie(strings)] == sorted(strings)
+
+
+def test_repeated_starts_agree_in_pairs_and_in_order(monkeypatch):
+    rng = random.Random(3)
+    gram = bytes(rng.randrange(97, 100) for _ in range(suffix.GRAM))
+    grams, off, span, count, stretch = [], [], [], [], []
+    for _ in range(9):
+        o, w = rng.randrange(20, 60), 19
+        left = (b"l" * 60)[: 60 - 1] + bytes([rng.choice(b"lm")])
+        body = left[-o:] + gram + b"r" * rng.choice([80, 100, 135]) + bytes(rng.randrange(65, 90) for _ in range(300))
+        grams.append(7), off.append(o), span.append(w), count.append(1), stretch.append(body[: w + suffix.LENGTH])
+    # a start of a stretch is o - t bytes ahead of the gram, and only what is in the stretch can be met
+    one = suffix.repeated_starts(grams, off, span, count, stretch)
+    monkeypatch.setattr(suffix, "PAIRS", 1)
+    two = suffix.repeated_starts(grams, off, span, count, stretch)
+    all_starts = [s[t : t + suffix.LENGTH] for s in stretch for t in range(len(s) - suffix.LENGTH + 1)]
+    want = [[all_starts.count(s[t : t + suffix.LENGTH]) > 1 for t in range(len(s) - suffix.LENGTH + 1)] for s in stretch]
+    assert [x.tolist() for x in two] == want
+    assert [x.tolist() for x in one] == want
+
+
+def test_equal_windows_are_revealed_alike():
+    rng = np.random.default_rng(5)
+    for vocabulary in (2, 3, 40):
+        a = rng.integers(0, vocabulary, 300).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        b = np.concatenate([rng.integers(0, vocabulary, 17).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), a[40:200], a[:9]])
+        both = np.concatenate([a, b])
+        starts, keys = recompress.anchors(both, np.array([0, len(a), len(both)]))
+        seen: dict[bytes, set] = {}
+        for s, k in zip(starts.tolist(), keys.tolist(), strict=True):
+            seen.setdefault(both[s : s + recompress.WINDOW].tobytes(), set()).add(k)
+        assert all(len(k) == 1 for k in seen.values())
+
+
+def test_likelihood_finds_the_similarity():
+    rng = np.random.default_rng(1)
+    union = rng.integers(0, 1 << 62, 1000, np.uint64)
+    a, b = union[:900], union[100:]
+    grid = np.linspace(0, 1, 101)
+    value = sketch.similarity_loglik(sketch.registers(a)[None], sketch.registers(b)[None], np.array([900.0]), np.array([900.0]), grid)
+    assert abs(grid[value.argmax()] - 0.8) < 0.12
+    assert (np.maximum(sketch.registers(a), sketch.registers(b)) == sketch.registers(union)).all()
+
+
+def test_entropies_follow_from_incremental_counts():
+    run = "a8Kd02jJqpZ81kkeu3Hs0aXw91bTz0"
+    for i, h in enumerate(secrets.window_entropies(run)):
+        part = run[i : i + secrets.WINDOW]
+        assert abs(h + sum(p * math.log2(p) for p in (part.count(c) / len(part) for c in set(part)))) < 1e-9
+
+
+def test_secret_kinds_bounds_and_allow_list():
+    key, digest = "AKIA" + "ABCD1234EFGH", "0123456789abcdef" * 2
+    text = f"é password = 'hunter2hunter2' {key} AKIASHORT {digest} token: short ABC https://example.com/a-long-path-of-words-only 123e4567-e89b-12d3-a456-426614174000"
+    kinds = [(secrets.KINDS[k], text[a:b]) for a, b, k in secrets.scan(text)]
+    assert kinds == [("assign", "password = 'hunter2hunter2"), ("access", key), ("hex", digest)]
+    loose = "x9Kd02jJqpZ81kkeu3Hs0aXw91bTz0Qm"
+    assert [(k, text_) for k, text_ in ((secrets.KINDS[k], loose[a:b]) for a, b, k in secrets.scan(loose))][0][0] == "entropy"
+    assert secrets.scan("") == [] and secrets.masked(f"see {key}!") == "see [access]!"
+    assert secrets.scan("paſſword=abcdefgh1") == []  # letters of either case are ASCII
+
+
+@given(st.lists(st.integers(1, 60), max_size=60))
+@settings(max_examples=60, deadline=None)
+def test_packing_is_gapless_and_not_worse_than_best_fit(sizes):
+    sizes = np.array(sizes, np.int64)
+    where, offset = packing.pack_sizes(sizes, 60)
+    for b in set(where.tolist()):
+        mine = sorted((offset[i], sizes[i]) for i in np.flatnonzero(where == b))
+        assert [o for o, _ in mine] == [sum(s for _, s in mine[:k]) for k in range(len(mine))]
+        assert sum(s for _, s in mine) <= 60
+    assert len(set(where.tolist())) <= len(packing.best_fit(sorted(sizes.tolist(), reverse=True), 60))
+
+
+def test_local_search_empties_a_bin():
+    assert len(packing.improve([[6], [5, 3], [5, 1]], 10)) == 2 and len(packing.improve([[4, 4], [3, 3, 2], [2, 2]], 10)) == 2
+
+
+def test_pieces_round_trip():
+    assert packing.cut(1, 2048) == [(0, 1)] and packing.cut(2048, 2048) == [(0, 2048)]
+    assert packing.cut(5000, 2048) == [(0, 904), (904, 2048), (2952, 2048)]
+    enc = packing.encoder(tokenizer_path())
+    for text in ("", " a  b ", "x\n\n y\t", "<|endoftext|> hi", "don't  we'll é \x1c bar", "日本語 text"):
+        assert enc.encode(text) == enc.slowly(text)
+
+
+def test_top_k_is_exact_with_ties_and_short_vectors():
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    vecs = [rng.integers(-3, 4, 6) for _ in range(700)] + [np.array([5, 5])]
+    frame = pd.DataFrame({"vec_id": range(701), "vec": [v.astype("<i8").tobytes() for v in vecs], "length2": [float(v @ v) for v in vecs]})
+    padded = np.stack([np.pad(v, (0, 6 - len(v))) for v in vecs])
+    turn = np.linalg.eigh((padded.T @ padded).astype(float))[1][:, ::-1]
+    queries = frame.iloc[::50].assign(floor=-np.inf)
+    got = search.top_of(queries, frame, turn, 5)
+    for q in queries["vec_id"]:
+        scores = padded @ padded[q]
+        want = sorted(((-scores[i], i) for i in range(701) if i != q))[:5]
+        mine = got[got["query_id"] == q]
+        assert sorted(zip(-mine["score"], mine["vec_id"], strict=True)) == want
+
+
+def test_rates_meet_targets_and_stay_nonnegative():
+    rng = np.random.default_rng(0)
+    p = rng.dirichlet([0.3, 0.3, 0.3], 4000)
+    n = rng.integers(1, 500, 4000)
+    start = p.T @ n
+    target = start * [0.9, 0.2, 1.4]
+    steps = []
+    for _ in range(40):
+        r, ahead = mixing.rates(p, steps, 1.0)
+        steps.append((p.T @ (n * ahead) - target) / start)
+    r, _ = mixing.rates(p, steps, 1.0)
+    assert (r >= 0).all() and np.abs(p.T @ (n * r) - target).max() < 0.01 * n.sum()
+
+
+def test_language_kernel_separates_and_empty_model_is_und():
+    rows = [("der die das und nicht ein haus", "de"), ("the and of that house is", "en")] * 8
+    model = langid.fit(rows)
+    tables, seen = langid._tables(model.grams), np.zeros(8 * (len(model.grams) + 1), np.uint8)
+    data, offsets = text_buffer(pa.array(["das haus und die", "that house and the", ""]))
+    s = langid.scores(data, offsets, model, tables, seen)
+    assert s[:2].argmax(1).tolist() == [0, 1] and np.isfinite(s).all() and not seen.any()
+
+
+def test_digest_of_nothing():
+    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")

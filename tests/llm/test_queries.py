@@ -1,0 +1,245 @@
+"""The operators on small tables against brute force, and on the cases their docstrings define."""
+
+import hashlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from riskweave.llm import forest, langid, mixing, oracles, packing, queries, recompress, rounds, search, secrets, sketch, suffix, urls
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, component_id string, kept string"
+
+
+def docs_of(spark, texts, first=0):
+    return spark.createDataFrame([(None if t == "NOID" else first + k, None if t in (None, "NOID") else t, "en", "s", 0, "clash", "clash") for k, t in enumerate(texts)], DOCS)
+
+
+def prose(seed, n):
+    rng = np.random.default_rng(seed)
+    return " ".join("w%d" % x for x in rng.integers(0, 400, n))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empties, copies, repeated rows, long and one-word texts, clashing columns."""
+    long = prose(1, 3000)
+    near = prose(2, 120)
+    rows = [long, None, "", "   \n\t", "NOID", near, near + " extra", near, "one", "a b c d", "A B C D", "é" * 500, "z" * 600, long[3000:9000], " ".join(["ja"] * 60), prose(3, 40)]
+    df = docs_of(spark, rows)
+    return df.unionByName(df.filter("doc_id = 9"))
+
+
+def test_oracle_queries_agree(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    for name, sql in oracles.ORACLES.items():
+        want = con.execute(sql).fetchdf()
+        got = queries.QUERIES[name](spark, sf).toPandas()[list(want.columns)]
+        rows = lambda d: Counter(tuple(None if v != v else v for v in r) for r in d.astype(object).itertuples(index=False))
+        assert rows(got) == rows(want), name
+
+
+def test_suffix_dedup_against_brute_force(spark, odd, monkeypatch):
+    texts = [(r.doc_id, (r.text or "").encode()) for r in odd.collect()]
+    seen = Counter(t[i : i + 200] for _, t in texts for i in range(len(t) - 199))
+    want = Counter()
+    for doc, t in texts:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 199):
+            if seen[t[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        spans = sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
+        want[(doc, len(t), int(gone.sum()), int(spans), hashlib.sha256(bytes(b for b, g in zip(t, gone, strict=True) if not g)).hexdigest())] += 1
+    monkeypatch.setattr(rounds, "BLOCK_BYTES", 8_000)
+    assert Counter(tuple(r) for r in suffix.deduplicate(odd).collect()) == want
+
+
+def test_substring_dedup_against_brute_force(spark, odd, monkeypatch):
+    texts = [(r.doc_id, (r.text or "").encode().split()) for r in odd.collect()]
+    low = {}
+    for doc, ws in texts:
+        for i in range(len(ws) - 12):
+            if doc is not None:
+                low[tuple(ws[i : i + 13])] = min(doc, low.get(tuple(ws[i : i + 13]), doc))
+    want = Counter()
+    for doc, ws in texts:
+        gone = np.zeros(len(ws), bool)
+        for i in range(len(ws) - 12):
+            if doc is not None and low[tuple(ws[i : i + 13])] < doc:
+                gone[i : i + 13] = True
+        kept = b" ".join(w for w, g in zip(ws, gone, strict=True) if not g)
+        want[(doc, len(ws), int(gone.sum()), hashlib.sha256(kept).hexdigest())] += 1
+    monkeypatch.setattr(rounds, "BLOCK_BYTES", 8_000)
+    assert Counter(tuple(r) for r in recompress.deduplicate(odd).collect()) == want
+
+
+def shingles(text):
+    ws = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return frozenset(tuple(ws[i : i + 5]) for i in range(len(ws) - 4)) if len(ws) >= 5 else frozenset([tuple(ws)] if ws else [])
+
+
+def test_near_dedup_against_brute_force(spark, odd):
+    base = prose(7, 150).split()
+    edits = []
+    rng = np.random.default_rng(4)
+    for k in range(60):  # a family around one text, from one edit to eight
+        copy = list(base)
+        for at in rng.integers(0, 150, 1 + k % 8):
+            copy[at] = f"n{k}x{at}"
+        edits.append(" ".join(copy))
+    df = odd.unionByName(docs_of(spark, edits, 100))
+    rows = [(r.doc_id, shingles(r.text)) for r in df.collect()]
+    for percent in (85, 80):
+        comp = {d: d for d, _ in rows if d is not None}
+        sets = [(d, s) for d, s in rows if d is not None and s]
+        for i, (a, x) in enumerate(sets):
+            for b, y in sets[:i]:
+                if 100 * len(x & y) >= percent * len(x | y):
+                    low, high = sorted((comp[a], comp[b]))
+                    comp = {d: low if c == high else c for d, c in comp.items()}
+        want = Counter((d, len(s), None if d is None else comp[d], d is not None and comp[d] == d) for d, s in rows)
+        assert Counter(tuple(r) for r in sketch.near_duplicates(df, percent).collect()) == want
+
+
+def test_embedding_dedup_cases_and_recall(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    vecs = [rng.standard_normal(16) for _ in range(300)]
+    vecs += [v + 0.02 * rng.standard_normal(16) for v in vecs[:120]] + [vecs[0] + 0.01 * rng.standard_normal(16) for _ in range(80)]
+    rows = [(k, [float(x) for x in v], k % 2 if k < 300 else (k - 300) % 2 if k < 420 else 0) for k, v in enumerate(vecs)]
+    rows += [(900, None, 0), (901, [0.0] * 16, 0), (902, [None] + [1.0] * 15, 0), (903, [float("nan")] * 16, 0), (904, rows[0][1], None), (905, [1.0, 2.0], 0), (906, [2.0, 4.0], 0), (907, [], 0), (None, rows[0][1], 0), (908, rows[0][1], 0), (908, rows[0][1], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    fit = [(i, np.array(v), g) for i, v, g in rows if i is not None and i not in (900, 901, 902, 903, 904, 907)]
+    links, comp = defaultdict(int), {i: i for i, _, _ in rows if i is not None}
+    for i, (a, x, g) in enumerate(fit):
+        for b, y, h in fit[:i]:
+            if g == h and len(x) == len(y) and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.98:
+                links[a] += 1
+                links[b] += 1
+                low, high = sorted((comp[a], comp[b]))
+                comp = {d: low if c == high else c for d, c in comp.items()}
+    links[908] //= 2  # two rows of one id, each linked as often
+    for leaf, crowd in ((96, 2048), (24, 20)):
+        monkeypatch.setattr(forest, "LEAF", leaf)
+        monkeypatch.setattr(forest, "CROWDED", crowd)
+        monkeypatch.setattr(forest, "BLOCK", 10)
+        got = forest.near_duplicates(df).collect()
+        assert len(got) == len(rows)
+        found = sum(r.n_links for r in got if r.vec_id is not None)
+        want = sum(links[i] for i, _, _ in rows if i is not None)
+        assert 0.99 * want <= found <= want
+        for r in got:
+            if r.vec_id is not None:
+                assert r.n_links <= links[r.vec_id] and r.component_id >= comp[r.vec_id] and r.kept == (r.component_id == r.vec_id)
+
+
+def test_url_cases(spark):
+    rows = [(1, "http://A.NET/x?y"), (2, "https://www.example.net/en/1#t"), (3, "http://example.com/de/2"), (4, "http://blog.org/fr/"), (5, None), (6, "no scheme"), (7, "://h"), (8, "http://a.net"), (None, "http://x.org/EN/1"), (1, "http://A.NET/x?y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(k, 0, 1) for k in range(100, 120)] + [(None, 1, 1), (121, None, None)], "doc_id long, quality int, toxic int")
+    more = spark.createDataFrame([(k, f"http://spam.com/win/{k}") for k in range(100, 120)] + [(200, "http://spam.com/win/77"), (201, "http://fine.com/win/7")], "page_id long, url string")
+    got = {(r.page_id, r.host, r.path): (r.rule, r.verdict) for r in urls.judge(pages.unionByName(more), labels).collect()}
+    assert got[(1, "a.net", "/x")] == ("net/", "block") and got[(2, "www.example.net", "/en/1")] == ("example.net/en/", "allow")
+    assert got[(3, "example.com", "/de/2")] == ("example.com/de/", "block") and got[(4, "blog.org", "/fr/")] == ("org/fr/", "allow")
+    assert got[(5, "", "")][0] is None and got[(6, "", "")][0] is None and (7, "h", "") in got and got[(8, "a.net", "")][0] is None
+    assert got[(200, "spam.com", "/win/77")] == (None, "block")
+    assert urls.judge(pages.limit(0), labels).count() == 0 and urls.judge(pages, labels.limit(0)).count() == len(rows)
+
+
+def test_search_cases(spark):
+    rows = [(0, [1.0, 0.5], 1), (50, [0.25, 1.0], 1), (1, [1.0, 1.0], 1), (2, [1.0, 1.0], 1), (3, None, 1), (4, [None, 1.0], 1), (5, [float("inf"), 1.0], 1), (None, [9.0, 9.0], 1), (6, [2.0], 1), (7, [], 1), (1, [1.0, 1.0], 1)]
+    got = search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 50, 3).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got if r.query_id == 0) == [(0, 1, 6, 131072), (0, 2, 1, 98304), (0, 3, 1, 98304)]
+    assert search.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>, label int"), 50).count() == 0
+
+
+def test_language_cases_and_held_out_accuracy(spark, sf, odd):
+    got = queries.op4_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
+    right, n = got.filter("held_out").agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count("*")).first()
+    assert n > 250 and right / n > 0.95
+    model = langid.train(spark.read.parquet(f"{sf}/documents.parquet"), ~langid.held_out())
+    out = {r.doc_id: r for r in langid.predict(odd, model).collect() if r.doc_id is not None}
+    assert out[1].lang_pred == out[2].lang_pred == out[3].lang_pred == "und" and out[1].score == 0 and 0 <= out[0].score <= 1
+    assert out[0].kept == "clash"
+    none = langid.train(odd.filter("doc_id < 0"), F.lit(True))
+    assert {r.lang_pred for r in langid.predict(odd, none).collect()} == {"und"}
+
+
+def test_secret_query_cases(spark, odd):
+    assert odd.count() == secrets.secret_spans(odd).count()
+    row = secrets.secret_spans(docs_of(spark, ["é api-key api_key: abcdefgh"])).first()
+    assert (row.n_assign, row.spans, row.base_sha256) == (1, "assign:10:27", hashlib.sha256(b"assign:10:27").hexdigest())
+    assert secrets.secret_spans(docs_of(spark, [None])).first().base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_mixing_cases(spark, odd):
+    labels = spark.createDataFrame([(0, 1, 0), (5, 0, 0), (8, None, 1), (None, 1, 1), (9, None, None)], "doc_id long, quality int, toxic int")
+    got = mixing.mixed(odd.select("doc_id", "text"), labels).collect()
+    assert len(got) == odd.count() and all(r.rate >= 0 and abs(sum(r.posterior) - 1) < 1e-6 for r in got)
+    assert mixing.resampled(odd, labels.limit(0)).columns == odd.columns
+    assert mixing.mixed(odd.limit(0), labels).count() == 0
+
+
+def test_mixing_meets_targets(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = mixing.mixed(docs.select("doc_id", "text"), labels).toPandas()
+    totals = sum((np.array(p) * n * r for p, n, r in zip(got["posterior"], got["n_tokens"], got["rate"], strict=True)), np.zeros(3))
+    assert np.abs(totals / totals.sum() - [mixing.SHARES[d] for d in mixing.DOMAINS]).max() < 0.02
+
+
+def test_packing_query_round_trip(spark, odd):
+    got = packing.pack(odd, queries.tokenizer_path(), 64).toPandas()
+    by_bin = got.sort_values(["sequence_id", "offset"]).groupby("sequence_id")
+    assert (by_bin["length"].sum() <= 64).all()
+    for _, part in by_bin:
+        assert part["offset"].tolist() == (part["length"].cumsum() - part["length"]).tolist()
+    enc = packing.encoder(queries.tokenizer_path())
+    for r in odd.filter("doc_id IN (0, 1, 8)").collect():
+        n = len(enc.slowly(r.text or "")) // 4 + 1
+        mine = got[got["doc_id"] == r.doc_id].sort_values("piece")
+        assert mine["length"].sum() == n and mine["start"].tolist() == (mine["length"].cumsum() - mine["length"]).tolist()
+    assert packing.pack(odd.limit(0), queries.tokenizer_path()).count() == 0
+
+
+@pytest.mark.parametrize("run", [lambda d: suffix.deduplicate(d), lambda d: recompress.deduplicate(d), lambda d: sketch.near_duplicates(d, 85), lambda d: secrets.secret_spans(d)])
+def test_empty_tables(spark, odd, run):
+    assert run(odd.limit(0)).count() == 0
+
+
+def test_pipeline_stages(spark, odd):
+    import corpus_pipeline as pipeline
+    from riskweave.llm.common import written
+
+    sf = "/root/testdata/sf0.001"
+    extra = docs_of(spark, ["password=abcdefgh12 in some text", "!!! 123"], 5000).select("doc_id", "text", "lang", "source", "n_chars")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").unionByName(extra)
+    before = docs
+    for name, stage in pipeline.STAGES:
+        after = written(stage(spark, before, sf))
+        ids = lambda d: {r[0] for r in d.select("doc_id").collect()}
+        if name != "best_fit_packing":
+            assert after.columns == docs.columns and ids(after) <= ids(before)
+        if name == "language_id":
+            assert ids(before) - ids(after) == {5001}
+        if name == "minhash_near_dedup":
+            rows = [(r.doc_id, shingles(r.text)) for r in before.collect()]
+            comp = {d: d for d, _ in rows}
+            for i, (a, x) in enumerate(rows):
+                for b, y in rows[:i]:
+                    if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                        low, high = sorted((comp[a], comp[b]))
+                        comp = {d: low if c == high else c for d, c in comp.items()}
+            assert ids(after) == {d for d, c in comp.items() if d == c}
+        if name == "secret_scan":
+            assert ids(after) == ids(before)
+            assert after.filter("doc_id = 5000").first().text == "[assign] in some text"
+            assert all(r.text == secrets.masked(r.text) and r.n_chars == len(r.text) for r in after.collect())
+        if name == "mixing":
+            assert 0 < after.count() <= 1.5 * before.count()
+        if name == "best_fit_packing":
+            assert ids(after) == ids(before)
+        before = after
