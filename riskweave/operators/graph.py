@@ -31,6 +31,8 @@ def transfer_edges(df: DataFrame, account: str = "account_id", other: str = "cou
 def shared_attribute_pairs(df: DataFrame, account: str = "account_id", attributes: tuple[str, ...] = ATTRIBUTES, largest: int = 50) -> DataFrame:
     """src, dst, shared_attrs: how many attribute values two accounts share; larger groups than `largest` tie nobody."""
     present = [a for a in attributes if a in df.columns]
+    if not present:
+        return df.sparkSession.createDataFrame([], "src string, dst string, shared_attrs double")
     named = F.explode(F.array(*[F.struct(F.lit(a).alias("kind"), F.col(a).cast("string").alias("value")) for a in present]))
     seen = df.filter(F.col(account).isNotNull()).select(F.col(account).alias("id"), named.alias("x")).select("id", "x.*")
     seen = seen.filter(F.col("value").isNotNull()).distinct()
