@@ -10,10 +10,12 @@ from pyspark.sql import types as T
 
 from riskweave.sources.scratch import written
 
-__all__ = ["by_id", "chunks", "extended", "gram_hash", "mix", "powers", "prefix_hash", "shards", "signed", "span_hash", "table", "text_buffer", "words", "written"]
+__all__ = ["by_id", "chunks", "extended", "gram_hash", "mix", "powers", "prefix_hash", "shards", "signed", "small_batches", "span_hash", "table", "text_buffer", "words", "written"]
 
 #: Text bytes that one vectorised step takes; a longer document is a step of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
+#: Rows of an Arrow batch: with long texts the usual 10,000 are tens of MB on both sides of the worker's pipe.
+BATCH_ROWS = 1000
 #: The white space of the word contracts: blank and 0x09 to 0x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -126,6 +128,14 @@ def extended(df: DataFrame, **more: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(n, T._parse_datatype_string(k)) for n, k in more.items())])
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches at BATCH_ROWS rows at most."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def by_id(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Only the two columns an operator reads, so that others of any name can't clash."""
-    return df.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
+    return small_batches(df).select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import chunks, extended, text_buffer
+from riskweave.llm.common import chunks, extended, small_batches, text_buffer
 
 #: Bounds of the fit: rows sampled, characters of a sampled text, landmarks a language.
 TRAIN_ROWS, TRAIN_CHARS, LANDMARKS = 1200, 8_000, 24
@@ -159,7 +159,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     if not model.langs:
         return docs.select(*kept, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = spark.sparkContext.broadcast(model)
-    fed = docs.select(has_letter().alias("__letter"), F.col("text").alias("__text"), *kept)
+    fed = small_batches(docs).select(has_letter().alias("__letter"), F.col("text").alias("__text"), *kept)
     schema = extended(docs.select(*kept), lang_pred="string", score="double")
     return fed.mapInArrow(lambda it: _predict(it, shared), schema)
 

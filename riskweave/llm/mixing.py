@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import chunks, extended, prefix_hash, span_hash, text_buffer, words, written
+from riskweave.llm.common import chunks, extended, prefix_hash, small_batches, span_hash, text_buffer, words, written
 
 BITS = 12
 #: Bounds of the fit: labelled rows, characters of one, passes over them.
@@ -170,7 +170,7 @@ def mixed(docs: DataFrame, labels: DataFrame, shares: dict[str, float] = SHARES,
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("text", "n_tokens", "posterior", "rate")]
     schema = extended(docs.select(*kept), n_tokens="long", posterior="array<double>")
-    members = written(docs.select(F.col("text").alias("__text"), *kept).mapInArrow(lambda it: _posteriors(it, shared), schema))
+    members = written(small_batches(docs).select(F.col("text").alias("__text"), *kept).mapInArrow(lambda it: _posteriors(it, shared), schema))
     steps, rate_of, _ = fit_rates(members, model.domains, shares, total)
     at = members.columns.index("posterior")
     return members.mapInArrow(lambda it: _rated(it, steps, rate_of, at), extended(members, rate="double"))
@@ -182,7 +182,7 @@ def resampled(docs: DataFrame, labels: DataFrame, shares: dict[str, float] = SHA
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("n_tokens", "posterior", "rate")]
     schema = extended(docs.select(*kept), n_tokens="long", posterior="array<double>")
-    seen = docs.select(F.col("text").alias("__text"), *kept).mapInArrow(lambda it: _posteriors(it, shared), schema)
+    seen = small_batches(docs).select(F.col("text").alias("__text"), *kept).mapInArrow(lambda it: _posteriors(it, shared), schema)
     members = written(seen.select("n_tokens", "posterior"))
     steps, rate_of, _ = fit_rates(members, model.domains, shares, total)
     at = len(kept) + 1

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from riskweave.llm.common import by_id, shards
 
 #: Text bytes of a block and, for about as many buckets, of the text behind a bucket.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 QUESTION = "blk int, bucket int, stage int, keys binary, load binary"
 #: The stage of what a block tells its own next pass.
 NOTE = 9

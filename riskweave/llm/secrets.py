@@ -20,7 +20,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from riskweave.llm.common import by_id
+from riskweave.llm.common import by_id, small_batches
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -142,4 +142,4 @@ def _masks(batches, column: int):
 def mask_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every secret in the text column masked; all columns stay, nulls included."""
     k = docs.columns.index(text)
-    return docs.mapInArrow(lambda it: _masks(it, k), docs.schema)
+    return small_batches(docs).mapInArrow(lambda it: _masks(it, k), docs.schema)
