@@ -34,7 +34,7 @@ LENGTH, GRAM = 200, 64
 SPAN = LENGTH - GRAM + 1
 SHALLOW = 96
 #: Occurrences of a gram past which its strings are counted by name; classes of a group compared in pairs.
-HOT, PAIRS = 2000, 48
+HOT, PAIRS = 500, 48
 
 
 def representatives(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -113,15 +113,15 @@ def deep_shallow(rows: np.ndarray) -> np.ndarray:
     word deeper. Groups that agree on SHALLOW bytes are left to blind tries.
     """
     n, width = rows.shape
-    padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
-    padded[:, :width] = rows
-    keys = padded.view(">u8").astype(np.uint64)
+    limit = min(SHALLOW, width + 7) // 8
+    head = np.zeros((n, limit * 8), np.uint8)  # the bytes that quicksort looks at
+    head[:, : min(width, limit * 8)] = rows[:, : limit * 8]
+    keys = head.view(">u8").astype(np.uint64)
     order = np.arange(n)
     start = np.zeros(1, np.int64)  # of the open groups
     size = np.array([n])
     depth = np.zeros(1, np.int64)
     deep: list[tuple[int, int]] = []
-    limit = min(SHALLOW, width + 7) // 8
     while len(start):
         which = np.repeat(np.arange(len(start)), size)
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
