@@ -176,17 +176,25 @@ def mixed(docs: DataFrame, labels: DataFrame, shares: dict[str, float] = SHARES,
     return members.mapInArrow(lambda it: _rated(it, steps, rate_of, at), extended(members, rate="double"))
 
 
+def _rated_texts(batches, shared, steps, rate_of):
+    """mapInArrow: text first; each row without it, with its rate."""
+    for batch in _posteriors(batches, shared):
+        p = np.asarray(batch.column("posterior").flatten(), float).reshape(batch.num_rows, -1)
+        rate = pa.array(np.round(rates(p, steps, rate_of)[0], 6))
+        yield batch.drop_columns(["n_tokens", "posterior"]).append_column("rate", rate)
+
+
 def resampled(docs: DataFrame, labels: DataFrame, shares: dict[str, float] = SHARES, total: float | None = None) -> DataFrame:
     """docs, each row as often as its rate says: the whole part, and once more if a hash of the row falls under the rest."""
     model = train(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("n_tokens", "posterior", "rate")]
-    schema = extended(docs.select(*kept), n_tokens="long", posterior="array<double>")
-    seen = small_batches(docs).select(F.col("text").alias("__text"), *kept).mapInArrow(lambda it: _posteriors(it, shared), schema)
-    members = written(seen.select("n_tokens", "posterior"))
+    fed = small_batches(docs).select(F.col("text").alias("__text"))
+    members = written(fed.mapInArrow(lambda it: _posteriors(it, shared), "n_tokens long, posterior array<double>"))
     steps, rate_of, _ = fit_rates(members, model.domains, shares, total)
-    at = len(kept) + 1
-    rated = seen.mapInArrow(lambda it: _rated(it, steps, rate_of, at), extended(seen, rate="double"))
-    luck = F.pmod(F.xxhash64("doc_id", "text", F.lit("mix")), F.lit(1 << 40)) / float(1 << 40)
+    # names of our own can't clash with the rate's
+    rated = docs.select(F.col("text").alias("__text"), *[F.col(c).alias(f"__{c}_") for c in docs.columns])
+    rated = rated.mapInArrow(lambda it: _rated_texts(it, shared, steps, rate_of), extended(rated.drop("__text"), rate="double"))
+    luck = F.pmod(F.xxhash64("__doc_id_", "__text_", F.lit("mix")), F.lit(1 << 40)) / float(1 << 40)
     copies = F.floor(F.col("rate") + luck).cast("int")
-    return rated.withColumn("__copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)))).select(*docs.columns)
+    drawn = rated.withColumn("__copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))))
+    return drawn.select(*[F.col(f"__{c}_").alias(c) for c in docs.columns])
