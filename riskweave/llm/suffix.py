@@ -70,7 +70,8 @@ def representatives(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     kept = place[first] >= 0
     first, last = first[kept], last[kept]
     at = place[first]
-    return at, first, last, grams[at], mix(span_hash(sums, first, last + LENGTH) ^ (at - first).astype(np.uint64))
+    # smallest hashes all begin with zeros: mixed again, they spread over the buckets
+    return at, first, last, mix(grams[at] ^ np.uint64(0x94D049BB133111EB)), mix(span_hash(sums, first, last + LENGTH) ^ (at - first).astype(np.uint64))
 
 
 def _blind_trie(strings: list[bytes]) -> list[int]:
