@@ -8,6 +8,12 @@ leaves, so leaves stay small at any size. Vectors meet in leaves, pairs are veri
 their cosine in double precision, counted in the first leaf they share, and united through
 spanning edges only. A crowded leaf is dealt to pairs of blocks, so no task holds all of it.
 
+Groups of near-copies aren't split: a vector of the sample with DENSE others within the link
+radius is a pivot, or lies within that radius of one. A pivot's leaf takes all vectors up to
+twice the radius away, so whatever links with a vector inside the radius is there too; such a
+vector meets all its links in leaves of pivots and goes down no tree. Pivots within twice the
+radius of each other share a leaf. Only pairs that no pivot is near depend on the trees.
+
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and those
 with a null label or vec_id, link with nothing. Vectors of different sizes don't link. Each
 row counts as a vector, so repeated rows link with each other. Empty table: no rows.
@@ -28,6 +34,8 @@ from riskweave.llm.search import finite
 TREES, LEAF, SPILL, MARGIN = 8, 96, 4, 0.012
 #: Rows the forest is fitted on at most.
 SAMPLE = 20_000
+#: Vectors of the sample within the link radius of one (itself counted) that make it a pivot.
+DENSE = 12
 #: Rows of a leaf that one task compares with each other; rows of a block beyond that.
 CROWDED, BLOCK = 2048, 1024
 BUCKET_ROWS = 20_000
@@ -43,14 +51,48 @@ def units(vectors, width: int) -> np.ndarray:
     return out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-300)
 
 
+def pivots_of(sample: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pivots, ordered by leaf, and the number of each one's leaf."""
+    rough = sample.astype(np.float32)
+    near = np.zeros(len(sample), np.int64)
+    for a in range(0, len(sample), 512):
+        near[a : a + 512] = (rough[a : a + 512] @ rough.T >= least).sum(1)
+    reach, covered = _reach(least), np.zeros(len(sample), bool)
+    picked: list[int] = []
+    heads: list[int] = []
+    leaf: list[int] = []
+    for k in np.argsort(-near, kind="stable").tolist():
+        if near[k] < DENSE:
+            break
+        if covered[k]:
+            continue
+        covered |= sample @ sample[k] >= least
+        close = np.flatnonzero(sample[heads] @ sample[k] >= reach)
+        leaf.append(int(close[0]) if len(close) else len(heads))
+        if not len(close):
+            heads.append(k)
+        picked.append(k)
+    order = np.argsort(leaf, kind="stable")
+    return sample[np.array(picked, np.int64)[order]], np.array(leaf, np.int64)[order]
+
+
+def _reach(least: float) -> float:
+    """The cosine at twice the link radius."""
+    return -1.0 if least <= 0 else 2 * least * least - 1 - 1e-9
+
+
 class Forest:
-    def __init__(self, sample: np.ndarray, rows: int, seed: int = 5):
+    def __init__(self, sample: np.ndarray, rows: int, seed: int = 5, least: float = 0.98):
         width = sample.shape[1]
         rng = np.random.default_rng(seed)
+        self.least = least
+        self.pivots, self.leaf_of = pivots_of(sample, least)
+        loose = sample[~self._near(sample)[1]]
+        rows = rows * len(loose) / max(1, len(sample))
         self.trees = []
         for _ in range(TREES):
             nodes: list = []
-            self._grow(sample, rng, nodes)
+            self._grow(loose, rng, nodes)
             leaves = [n[2] for n in nodes if n[0] is None]
             number = {id(n): k for k, n in enumerate(n for n in nodes if n[0] is None)}
             self.trees.append((nodes, {k: number.get(id(n)) for k, n in enumerate(nodes)}, np.stack(leaves)))
@@ -59,6 +101,18 @@ class Forest:
         self.deeper = rng.standard_normal((TREES, self.more, width))
         self.deeper /= np.linalg.norm(self.deeper, axis=2, keepdims=True) + 1e-300
 
+    def _near(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each row is in each pivot leaf, and whether it is within the link radius of a pivot."""
+        within, inside = np.zeros((len(x), int(self.leaf_of.max(initial=-1)) + 1), bool), np.zeros(len(x), bool)
+        if not len(self.pivots):
+            return within, inside
+        starts = np.flatnonzero(np.diff(self.leaf_of, prepend=-1))
+        for a in range(0, len(x), 256):
+            # the best pivot of each leaf says all of it
+            best = np.maximum.reduceat(x[a : a + 256] @ self.pivots.T, starts, axis=1)
+            within[a : a + 256], inside[a : a + 256] = best >= _reach(self.least), (best >= self.least).any(1)
+        return within, inside
+
     def _grow(self, x: np.ndarray, rng, nodes: list) -> int:
         """Appends the node of x: (direction, split, left, right), or a leaf (None, None, centre)."""
         me = len(nodes)
@@ -77,10 +131,13 @@ class Forest:
 
     def codes(self, x: np.ndarray) -> list[np.ndarray]:
         """For each row its leaves' codes over all trees, ascending; the tree is in the top bits."""
-        rows_of, codes_of = [], []
+        within, inside = self._near(x)
+        rows, leaf = np.nonzero(within)
+        rows_of, codes_of = [rows], [leaf | TREES << 56]
+        loose = np.flatnonzero(~inside)
         for t, (nodes, number, centres) in enumerate(self.trees):
             taken = np.ones(len(x), np.int64)
-            stack, at_rows, at_leaf = [(0, np.arange(len(x)))], [], []
+            stack, at_rows, at_leaf = [(0, loose)], [], []
             while stack:
                 k, rows = stack.pop()
                 node = nodes[k]
@@ -202,7 +259,7 @@ def _linked(classes: DataFrame, n: int, width: int, least: float) -> tuple[DataF
     draw = F.pmod(F.xxhash64("cid"), F.lit(1_000_000)) < -(-SAMPLE * 1_000_000 // n)
     sample = flat.filter(draw).select("cid", "vec").limit(2 * SAMPLE).collect()
     sample = units([r["vec"] for r in sorted(sample, key=lambda r: r["cid"])], width)
-    shared = spark.sparkContext.broadcast(Forest(sample, n))
+    shared = spark.sparkContext.broadcast(Forest(sample, n, least=least))
     placed = written(flat.mapInArrow(lambda it: _place(it, shared, width), "cid long, vec binary, label string, size int, w long, codes array<long>"))
     entry = placed.withColumn("code", F.explode("codes"))
     crowds = written(entry.groupBy("code", "label", "size").count().filter(F.col("count") > CROWDED))

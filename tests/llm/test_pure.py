@@ -176,3 +176,19 @@ def test_language_kernel_separates_and_empty_model_is_und():
 
 def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_a_big_group_of_near_copies_shares_a_leaf_at_any_size():
+    from riskweave.llm import forest
+
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centre = unit(rng.standard_normal(64))
+    near = lambda n: unit(centre + np.sqrt(1 / 0.99 - 1) * rng.standard_normal((n, 64)) / 8)
+    sample = np.concatenate([near(1000), unit(rng.standard_normal((2000, 64)))])
+    group = near(200)
+    link = group @ group.T >= 0.98
+    for rows in (20_000, 1_000_000, 100_000_000):
+        codes = [set(c.tolist()) for c in forest.Forest(sample, rows).codes(group)]
+        share = np.array([[bool(a & b) for b in codes] for a in codes])
+        assert share[link].all()
