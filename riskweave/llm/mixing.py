@@ -8,7 +8,9 @@ only. A step is one pass that sums numbers per domain; documents are never gathe
 
 Tokens are words. Defined cases: a null text has no words, the prior as posterior, and a
 rate like any other; rows with null ids get rates too. Labels with a null id or null marks
-teach nothing; without any, all documents are of the first domain. Repeated rows each count.
+teach nothing; without any, all documents are of the first domain and keep rate 1. Domains that
+nothing taught have posterior 0 and no target. Texts beyond TRAIN_CHARS teach by their first
+TRAIN_CHARS characters. Repeated rows each count.
 """
 
 from __future__ import annotations
@@ -63,7 +65,7 @@ def fit(x: np.ndarray, y: np.ndarray, domains: tuple[str, ...], ridge: float = 1
     """Softmax regression by Adam on all rows at once."""
     k, n = len(domains), len(x)
     target = np.eye(k)[y]
-    prior = np.log(target.mean(0) + 1e-3)
+    prior = np.where(target.any(0), np.log(target.mean(0) + 1e-3), -np.inf)  # what nothing taught isn't found
     w, m, v = (np.zeros((x.shape[1], k)) for _ in range(3))
     model = Classifier(domains, w.astype(np.float32), prior)
     for t in range(1, EPOCHS + 1):
@@ -77,13 +79,13 @@ def fit(x: np.ndarray, y: np.ndarray, domains: tuple[str, ...], ridge: float = 1
 def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     """Fits on at most about TRAIN_ROWS labelled documents, drawn by a hash of their id."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), domain_of().alias("domain")).dropna().dropDuplicates(["doc_id"])
-    total = marks.count()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull())
+    total = texts.select("doc_id").join(marks, "doc_id").count()  # labels of other documents aren't drawn from
     if not total:
         return Classifier()
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix")), F.lit(1_000_000)) < -(-TRAIN_ROWS * 1_000_000 // total)
-    few = F.broadcast(marks.filter(draw).limit(2 * TRAIN_ROWS))  # bounded by the two parameters above
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.length("text") <= TRAIN_CHARS)
-    rows = sorted((r["doc_id"], r["text"], r["domain"]) for r in rows.join(few, "doc_id").limit(2 * TRAIN_ROWS).collect())
+    drawn = texts.filter(draw).withColumn("text", F.substring("text", 1, TRAIN_CHARS))
+    rows = sorted((r["doc_id"], r["text"], r["domain"]) for r in drawn.join(marks.filter(draw), "doc_id").limit(2 * TRAIN_ROWS).collect())
     if not rows:
         return Classifier()
     data, offsets = text_buffer(pa.array([t for _, t, _ in rows], pa.string()))
@@ -130,11 +132,11 @@ def _sums(batches, residuals, rate_of, names):
 def fit_rates(members: DataFrame, domains: tuple[str, ...], shares: dict[str, float], total: float | None = None) -> tuple[list[np.ndarray], float, np.ndarray]:
     """Residuals and step length that give every document its rate, and the targets.
 
-    members: n_tokens, posterior. total: tokens of the mix; by default as many as can be had
-    without repeating any domain.
+    members: n_tokens, posterior. total: tokens of the mix; by default such that the domain of the
+    largest share keeps its tokens, so a scarce domain is repeated and shrinks no other. Domains
+    without tokens have no target, and the others share the mix.
     """
     share = np.array([shares[d] for d in domains])
-    share = share / share.sum()
     few = members.select("n_tokens", "posterior")
 
     def totals(residuals: list[np.ndarray], rate_of: float) -> tuple[np.ndarray, np.ndarray]:
@@ -144,9 +146,12 @@ def fit_rates(members: DataFrame, domains: tuple[str, ...], shares: dict[str, fl
 
     start, _ = totals([], 0.0)
     every = start.sum()
-    if not every:
-        return [], 0.0, share * 0
-    target = share * (total if total is not None else (start / np.maximum(share, 1e-12))[share > 0].min())
+    share = np.where(start > 0, share, 0)
+    if not share.sum():
+        return [], 0.0, share
+    share /= share.sum()
+    main = share.argmax()
+    target = share * (total if total is not None else start[main] / share[main])
     steps: list[np.ndarray] = []
     ahead = start
     rate_of = 1.0  # with gaps weighed by the totals the largest curvature is 1, as posteriors sum to 1

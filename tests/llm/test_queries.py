@@ -243,3 +243,21 @@ def test_pipeline_stages(spark, odd):
         if name == "best_fit_packing":
             assert ids(after) == ids(before)
         before = after
+
+
+def test_mixing_keeps_what_scarce_or_missing_domains_leave(spark):
+    texts = [prose(k, 60) for k in range(196)] + [("vile%d " % (k % 3)) * 60 for k in range(4)]
+    docs, none = docs_of(spark, texts), "doc_id long, quality int, toxic int"
+    few = spark.createDataFrame([(k, 1, int(k >= 196)) for k in range(200)], none)
+    got = {r.doc_id: r.rate for r in mixing.mixed(docs.select("doc_id", "text"), few).collect()}
+    assert min(got[k] for k in range(196)) > 0.9 and min(got[k] for k in range(196, 200)) > 1.2
+    gone = spark.createDataFrame([(k, 1, 0) for k in range(900, 950)], none)
+    for labels in (few.limit(0), gone, few.filter("toxic = 0")):
+        assert sorted(r.doc_id for r in mixing.resampled(docs, labels).select("doc_id").collect()) == list(range(200))
+
+
+def test_mixing_learns_from_long_texts(spark):
+    docs = docs_of(spark, [prose(k, 6000) for k in range(6)] + ["vile words " * 2500 for _ in range(3)])
+    labels = spark.createDataFrame([(k, 1, int(k >= 6)) for k in range(9)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.posterior for r in mixing.mixed(docs.select("doc_id", "text"), labels).collect()}
+    assert all(got[k][0] > 0.5 for k in range(6)) and all(got[k][2] > 0.5 for k in range(6, 9))
