@@ -6,8 +6,8 @@ their numbers, counted over the n-grams that the landmark texts hold. Nyström:
 give a feature map; one-versus-rest kernel ridge regression is solved in it. As scores are
 linear in a text's presence vector, all texts of a batch are scored by one matrix product.
 
-The fit takes a bounded sample of labelled rows, TRAIN_ROWS over all languages and
-TRAIN_CHARS a text at most; prediction takes every whole text.
+The fit takes a bounded sample of labelled rows, TRAIN_ROWS over all languages, and reads the
+first TRAIN_CHARS characters of each, however long it is; prediction takes every whole text.
 
 Nulls: a null text, or one without a letter, is `und` with score 0; rows with a null lang
 or doc_id teach nothing. Without any teaching row everything is `und`. Ties go to the
@@ -134,15 +134,15 @@ def has_letter(text: str = "text") -> Column:
 
 def train(docs: DataFrame, teaches: Column) -> Model:
     """Fits on a sample of the rows for which `teaches` holds: about equally many a language."""
-    rows = docs.filter(teaches & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS))
-    counts = {r["lang"]: r["count"] for r in rows.filter(F.col("doc_id").isNotNull()).groupBy("lang").count().collect()}
+    rows = docs.filter(teaches & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return Model([], np.zeros(0, np.uint32), np.zeros((1, 0), np.float32))
     each = max(1, TRAIN_ROWS // len(counts))
     million = 1_000_000
     rate = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, -(-million * each // v))])
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(million))
-    sample = rows.filter(draw < rate[F.col("lang")]).select("text", "lang", "doc_id").limit(2 * TRAIN_ROWS).collect()
+    sample = rows.filter(draw < rate[F.col("lang")]).select(F.substring("text", 1, TRAIN_CHARS).alias("text"), "lang", "doc_id").limit(2 * TRAIN_ROWS).collect()
     got = sorted(((r["doc_id"], r["text"], r["lang"]) for r in sample), key=lambda r: (hash_order(r[0]), r[1]))
     return fit([(t, g) for _, t, g in got if t]) if any(t for _, t, _ in got) else Model([], np.zeros(0, np.uint32), np.zeros((1, 0), np.float32))
 

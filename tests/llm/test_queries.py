@@ -261,3 +261,12 @@ def test_mixing_learns_from_long_texts(spark):
     labels = spark.createDataFrame([(k, 1, int(k >= 6)) for k in range(9)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r.posterior for r in mixing.mixed(docs.select("doc_id", "text"), labels).collect()}
     assert all(got[k][0] > 0.5 for k in range(6)) and all(got[k][2] > 0.5 for k in range(6, 9))
+
+
+def test_language_of_long_texts_and_null_ids(spark):
+    long = {"en": "the cat and the house with which they were ", "de": "der Hund und das Haus mit dem sie waren "}
+    rows = [(k, long[g] * 300, g) for k, g in enumerate(["en", "de"] * 4)] + [(None, long["en"], "en"), (None, "x y z", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, F.lit(True))
+    assert model.langs == ["de", "en"]
+    assert all(r.lang == r.lang_pred for r in langid.predict(docs.filter("doc_id IS NOT NULL"), model).collect())
