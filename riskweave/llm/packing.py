@@ -11,6 +11,7 @@ is. Repeated rows are packed each. An empty table gives no rows. Other columns a
 
 from __future__ import annotations
 
+import re
 import sys
 import zlib
 from array import array
@@ -32,6 +33,8 @@ PACKED = PIECES + ", sequence_id long, offset long"
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_OF = {chr(b): b for b in _SHOWN} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
+#: Runs of white space from this length go past tiktoken, whose pattern backtracks over them on the stack.
+_BLANKS, _LONG_RUN = re.compile(r"(?<!\s)\s{50000}"), 50_000
 _encoders: dict[str, Encoder] = {}
 
 
@@ -39,7 +42,8 @@ class Encoder:
     """Token ids of texts as little-endian bytes, the same as tokenizers gives for the file at path.
 
     tiktoken merges the file's own ranks several times faster; texts that name a special
-    token go through tokenizers itself. A probe compares the two when the file is read.
+    token or hold a very long run of white space, and those tiktoken fails on, go through
+    tokenizers itself. A probe compares the two when the file is read.
     """
 
     def __init__(self, path: str):
@@ -58,9 +62,14 @@ class Encoder:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if any(t in text for t in self.special):
+        if any(t in text for t in self.special) or (len(text) >= _LONG_RUN and _BLANKS.search(text)):
+            return self.slowly(text)
+        try:
+            ids = array("I", self.ids(text))
+        except BaseException as e:  # a panic of its regex is no Exception
+            if not isinstance(e, Exception) and type(e).__name__ != "PanicException":
+                raise
             return self.slowly(text)
-        ids = array("I", self.ids(text))
         if sys.byteorder == "big":
             ids.byteswap()
         return ids.tobytes()

@@ -192,3 +192,9 @@ def test_a_big_group_of_near_copies_shares_a_leaf_at_any_size():
         codes = [set(c.tolist()) for c in forest.Forest(sample, rows).codes(group)]
         share = np.array([[bool(a & b) for b in codes] for a in codes])
         assert share[link].all()
+
+
+def test_blanks_beyond_the_fast_encoder_are_encoded():
+    enc = packing.encoder(tokenizer_path())
+    text = "a" + " " * 1_500_000 + "b"
+    assert enc.encode(text) == enc.slowly(text)
