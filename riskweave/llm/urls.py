@@ -8,8 +8,8 @@ is rejected when its smoothed share of bad labelled pages reaches PURITY. Labell
 are those whose page_id has a row in `labels`: bad if toxic or of quality 0.
 
 All of it is aggregation of small summaries (map-side combined, so a host with a third of
-all pages is no hot task) and equi joins. The tree has DEPTH levels; deeper segments belong
-to the last level's subtree.
+all pages is no hot task) and equi joins. The tree has DEPTH levels, and further ones below
+nodes where several shapes still have unread segments, until none is left.
 
 Nulls: a null url, or one without `://`, has an empty host and path and is judged like any
 other. Null labels and ids label nothing; repeated labels of a page count once, bad if any
@@ -55,11 +55,26 @@ def shape(path: str = "path") -> Column:
     return F.regexp_replace(c, r"[0-9]+", "{n}")
 
 
+def _unread(tree: DataFrame, level: int) -> DataFrame:
+    """tree with open: whether the row's node has several shapes, one at least with segments below level."""
+    node = tree.groupBy("host", "at").agg(((F.count("*") > 1) & (F.max(F.size("segs")) > level + 1)).alias("open"))
+    return written(tree.join(node, ["host", "at"]))
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """pages: host, shape, good, bad. One row per host and shape: template and its labelled counts."""
     tree = pages.groupBy("host", "shape").agg(F.count("*").alias("n"), F.sum("labelled").alias("lab"), F.sum("bad").alias("bad"))
     tree = written(tree).withColumn("segs", F.split("shape", "/")).withColumn("at", F.lit(""))
-    for level in range(1, DEPTH + 1):
+    level, done = 0, None
+    while True:
+        level += 1
+        if level > DEPTH:
+            tree = _unread(tree, level - 1)
+            closed = tree.filter(~F.col("open")).drop("open")
+            done = closed if done is None else done.unionByName(closed)
+            tree = tree.filter("open").drop("open")
+            if tree.isEmpty():
+                break
         child = F.coalesce(F.get("segs", F.lit(level)), F.lit(""))
         tree = tree.withColumn("child", child)
         kids = tree.groupBy("host", "at", "child").agg(F.sum("n").alias("c_n"), F.sum("lab").alias("c_lab"), F.sum("bad").alias("c_bad"))
@@ -71,6 +86,7 @@ def templates(pages: DataFrame) -> DataFrame:
         step = kids.join(node, ["host", "at"]).select("host", "at", "child", F.when(many | alike, "*").otherwise(F.col("child")).alias("to"))
         # every level reads the one before twice: a written table keeps that from doubling
         tree = written(tree.join(step, ["host", "at", "child"]).withColumn("at", F.concat("at", F.lit("/"), "to")).drop("child", "to"))
+    tree = done
     counts = tree.groupBy("host", "at").agg(F.sum("lab").alias("t_lab"), F.sum("bad").alias("t_bad"))
     return tree.select("host", "shape", "at").join(counts, ["host", "at"]).select("host", "shape", F.col("at").alias("template"), "t_lab", "t_bad")
 

@@ -270,3 +270,13 @@ def test_language_of_long_texts_and_null_ids(spark):
     model = langid.train(docs, F.lit(True))
     assert model.langs == ["de", "en"]
     assert all(r.lang == r.lang_pred for r in langid.predict(docs.filter("doc_id IS NOT NULL"), model).collect())
+
+
+def test_urls_differ_below_the_first_levels(spark):
+    urls_of = {0: "/a/b/c/d/news/{}", 1: "/a/b/c/d/spam/{}", 2: "/a/b/c/d/e/f/g/h/news/{}", 3: "/a/b/c/d/e/f/g/h/spam/{}"}
+    rows = [(100 * g + k, "http://host.info" + path.format(k)) for g, path in urls_of.items() for k in range(20)]
+    rows += [(999, "http://host.info/a/b/c/d/spam/77"), (998, "http://host.info/a/b/c/d/news/77"), (997, "http://host.info/a/b/c/d"), (996, "http://short.info/a")]
+    labels = spark.createDataFrame([(p, 1, p // 100 % 2) for p, _ in rows if p < 900], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()}
+    assert len(got) == len(rows) and all(got[p] == ("block" if p // 100 % 2 else "allow") for p in got if p < 900)
+    assert got[999] == "block" and got[998] == "allow"
