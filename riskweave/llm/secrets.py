@@ -5,7 +5,7 @@ by its characters (hex, base64 or plain alphanumeric), and slides a window of WI
 characters over it. The Shannon entropy of each window follows from the counts of the
 window before it, as one character leaves and one enters. Windows at or over the class's
 bound are united to spans. Allow-listed runs (words, paths, identifiers of fixed shape) and
-whatever overlaps a base span are left out.
+what base spans cover are left out; the rest of an entropy span beside a base span stays.
 
 Nulls: a null text is empty and has no spans. Positions count code points, ends exclusive.
 Each row is judged alone, so repeated rows repeat; an empty table gives no rows.
@@ -85,6 +85,18 @@ def entropy_spans(run: str, at: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in spans]
 
 
+def _outside(span: tuple[int, int], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of span that no base span covers; base is in order."""
+    out, (at, end) = [], span
+    for a, b, _ in base:
+        if a >= end:
+            break
+        if a > at:
+            out.append((at, a))
+        at = max(at, b)
+    return [*out, (at, end)] if at < end else out
+
+
 def scan(text: str) -> list[tuple[int, int, int]]:
     """(start, end, number of kind) of all spans, by start, then kind."""
     found = []
@@ -97,7 +109,7 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     found += [(at + m.start(), at + m.end(), 2) for at, run in runs if len(run) >= 32 for m in HEX.finditer(run) if m.end() - m.start() >= 32]
     base = sorted(found)
     for at, run in runs:
-        found += [(a, b, 3) for a, b in entropy_spans(run, at) if not any(x < b and a < y for x, y, _ in base)]
+        found += [(a, b, 3) for span in entropy_spans(run, at) for a, b in _outside(span, base)]
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
