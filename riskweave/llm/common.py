@@ -1,7 +1,9 @@
-"""Arrow text access and vectorised word hashing shared by the operators."""
+"""Arrow text access and the names of words shared by the operators."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +12,10 @@ from pyspark.sql import types as T
 
 from riskweave.sources.scratch import written
 
-__all__ = ["by_id", "chunks", "extended", "gram_hash", "mix", "powers", "prefix_hash", "shards", "signed", "small_batches", "span_hash", "table", "text_buffer", "words", "written"]
+__all__ = ["by_id", "chunks", "extended", "gram_names", "grams_at", "mix", "numbered", "parts", "powers", "prefix_hash", "shards", "signed", "span_hash", "table", "text_buffer", "word_names", "words", "written"]
 
-#: Text bytes that one vectorised step takes; a longer document is a step of its own.
+#: Text bytes that one vectorised step takes; a longer document is read in parts of about this size.
 CHUNK_BYTES = 512 << 10
-#: Rows of an Arrow batch: with long texts the usual 10,000 are tens of MB on both sides of the worker's pipe.
-BATCH_ROWS = 1000
 #: The white space of the word contracts: blank and 0x09 to 0x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -52,8 +52,6 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES):
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = _TABLE.copy()
-_LOWER[65:91] = _TABLE[97:123]
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -67,10 +65,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][: n + 1], _powers[1][: n + 1]
 
 
-def prefix_hash(data: np.ndarray, lower: bool = False) -> np.ndarray:
-    """S with S[j] - S[i] = base**i times the polynomial hash of data[i:j]."""
+def prefix_hash(data: np.ndarray) -> np.ndarray:
+    """S with S[j] - S[i] = base**i times the polynomial hash of data[i:j]. It only proposes: different bytes can collide."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_LOWER if lower else _TABLE)[data] * powers(len(data))[0][: len(data)], out=out[1:])
+    np.cumsum(_TABLE[data] * powers(len(data))[0][: len(data)], out=out[1:])
     return out
 
 
@@ -90,6 +88,21 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
+def parts(data: np.ndarray, most: int = CHUNK_BYTES):
+    """Ranges [a, b) of about `most` bytes that cut no word."""
+    a, n = 0, len(data)
+    while a < n:
+        b = min(a + most, n)
+        while b < n:
+            space = np.flatnonzero(SPACE[data[b : b + most]])
+            if len(space):
+                b += int(space[0])
+                break
+            b = min(b + most, n)
+        yield a, b
+        a = b
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and len(offsets) bounds: document i has words bounds[i] to bounds[i + 1]."""
     inside = ~SPACE[data]
@@ -105,20 +118,78 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-_STEPS = np.random.default_rng(77).integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+#: What fills a word of k bytes up to 8: bytes that no text holds.
+_FILL = np.array([~0 << 8 * k & (1 << 64) - 1 for k in range(9)], np.uint64)
+_KEYS = np.random.default_rng(31).integers(1, 1 << 63, 3, np.uint64)
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+
+
+def _named(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128-bit names of data[start:end]: one to one up to 16 bytes, BLAKE2b digests beyond."""
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    eight = np.ndarray(len(data) + 9, "<u8", padded, strides=(1,))
+    size = ends - starts
+    a = eight[starts] | _FILL[np.minimum(size, 8)]
+    b = eight[np.minimum(starts + 8, len(data))] | _FILL[np.clip(size - 8, 0, 8)]
+    a ^= mix(b ^ _KEYS[0])
+    b ^= mix(a ^ _KEYS[1])
+    a ^= mix(b ^ _KEYS[2])
+    out = np.stack([a, b], 1)
+    for i in np.flatnonzero(size > 16).tolist():
+        out[i] = np.frombuffer(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=16).digest(), "<u8")
+    return out
+
+
+def word_names(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit names of all words as rows of two halves, and len(offsets) bounds: document i has words bounds[i] to bounds[i + 1]."""
+    found, bounds = [np.zeros((0, 2), np.uint64)], [np.zeros(1, np.int64)]
+    for i, j in chunks(offsets):
+        text, inner = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        count = np.zeros(j - i, np.int64)
+        for a, b in parts(text) if j - i == 1 else [(0, len(text))]:
+            part = _FOLD[text[a:b]] if lower else text[a:b]
+            starts, ends, at = words(part, np.array([0, b - a]) if j - i == 1 else inner)
+            found.append(_named(part, starts, ends))
+            count += np.diff(at)
+        bounds.append(bounds[-1][-1:] + np.cumsum(count))
+    return np.concatenate(found), np.concatenate(bounds)
+
 
+_STEPS = np.random.default_rng(77).integers(1, 1 << 63, (64, 2), np.uint64) * np.uint64(2) + np.uint64(1)
 
-def gram_hash(word_hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of k consecutive words."""
-    n = len(word_hashes) - k + 1
+
+def gram_names(names: np.ndarray, k: int, half: int = 0) -> np.ndarray:
+    """64-bit names of all runs of k consecutive words, from one half of the words' names; the other half's are independent."""
+    n = len(names) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = word_hashes[:n] * _STEPS[0]
+    column = np.ascontiguousarray(names[:, half])
+    total = column[:n] * _STEPS[0, half]
     for j in range(1, k):
-        total += word_hashes[j : j + n] * _STEPS[j % 64]
+        total += column[j : j + n] * _STEPS[j % 64, half]
+    return mix(total)
+
+
+def grams_at(names: np.ndarray, starts: np.ndarray, k: int, half: int) -> np.ndarray:
+    """gram_names of the runs at some places only."""
+    column = np.ascontiguousarray(names[:, half])
+    total = np.zeros(len(starts), np.uint64)
+    for j in range(k):
+        total += column[starts + j] * _STEPS[j % 64, half]
     return mix(total)
 
 
+def numbered(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct pair, in ascending order, and the number of every entry's pair."""
+    order = np.lexsort((second, first))
+    new = np.ones(len(order), bool)
+    new[1:] = (first[order[1:]] != first[order[:-1]]) | (second[order[1:]] != second[order[:-1]])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -128,14 +199,6 @@ def extended(df: DataFrame, **more: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(n, T._parse_datatype_string(k)) for n, k in more.items())])
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, with the session's Arrow batches at BATCH_ROWS rows at most."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
-    return df
-
-
 def by_id(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Only the two columns an operator reads, so that others of any name can't clash."""
-    return small_batches(df).select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
+    return df.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import chunks, extended, prefix_hash, small_batches, span_hash, text_buffer, words, written
+from riskweave.llm.common import chunks, extended, text_buffer, word_names, written
 
 BITS = 12
 #: Bounds of the fit: labelled rows, characters of one, passes over them.
@@ -53,8 +53,8 @@ class Classifier:
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unit rows of damped word counts by hash, and the number of words."""
-    starts, ends, bounds = words(data, offsets)
-    bucket = (span_hash(prefix_hash(data, lower=True), starts, ends) >> np.uint64(64 - BITS)).astype(np.int64)
+    names, bounds = word_names(data, offsets, lower=True)
+    bucket = (names[:, 0] >> np.uint64(64 - BITS)).astype(np.int64)
     n = np.diff(bounds)
     doc = np.repeat(np.arange(len(n)), n)
     x = np.log1p(np.bincount((doc << BITS) + bucket, minlength=len(n) << BITS).reshape(len(n), -1)).astype(np.float32)
@@ -175,7 +175,7 @@ def mixed(docs: DataFrame, labels: DataFrame, shares: dict[str, float] = SHARES,
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("text", "n_tokens", "posterior", "rate")]
     schema = extended(docs.select(*kept), n_tokens="long", posterior="array<double>")
-    members = written(small_batches(docs).select(F.col("text").alias("__text"), *kept).mapInArrow(lambda it: _posteriors(it, shared), schema))
+    members = written(docs.select(F.col("text").alias("__text"), *kept).mapInArrow(lambda it: _posteriors(it, shared), schema))
     steps, rate_of, _ = fit_rates(members, model.domains, shares, total)
     at = members.columns.index("posterior")
     return members.mapInArrow(lambda it: _rated(it, steps, rate_of, at), extended(members, rate="double"))
@@ -193,7 +193,7 @@ def resampled(docs: DataFrame, labels: DataFrame, shares: dict[str, float] = SHA
     """docs, each row as often as its rate says: the whole part, and once more if a hash of the row falls under the rest."""
     model = train(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fed = small_batches(docs).select(F.col("text").alias("__text"))
+    fed = docs.select(F.col("text").alias("__text"))
     members = written(fed.mapInArrow(lambda it: _posteriors(it, shared), "n_tokens long, posterior array<double>"))
     steps, rate_of, _ = fit_rates(members, model.domains, shares, total)
     # names of our own can't clash with the rate's

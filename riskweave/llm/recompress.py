@@ -5,13 +5,20 @@ of neighbours whose names fall into the left and the right half of all names. A
 hash of the content it stands for, so every task of a Spark round gives equal runs and
 pairs the same name, whatever document they are in, and no table of names is shuffled.
 Along with a symbol goes the stretch of words that decides it: wherever these words occur,
-the same symbol does. A window of WINDOW words is revealed by the symbol of the highest
-level, and of those the smallest name, that the window decides by itself; equal windows
-have the same one at the same place.
+the same symbol does. Rounds go on until no symbol's deciding words fit into a window. A
+window of WINDOW words is revealed by the symbol of the highest level, and of those the
+smallest name, that the window decides by itself; equal windows have the same one at the
+same place.
 
-Round one asks which of these symbols (with their deciding words) occur in a second
-document; round two names all words of the windows behind those and asks whether a smaller
-doc_id has them. The passes and the packed exchange between them are those of rounds.
+Spark round one asks which of these symbols (with their deciding words) occur in a second
+document; round two verifies: it names all words of the windows behind those and asks
+whether a smaller doc_id has them. These names are of 128 bits, made of the words' own, which
+are one to one up to 16 bytes and BLAKE2b digests beyond: among 10**13 distinct windows two
+share a name with a chance under 10**-12. The passes and the packed exchange between them are those of rounds.
+
+Texts are read in parts that cut no word, and a long document's rounds run on stretches of
+STRETCH words that overlap by a window less one; a window's symbols depend on the window
+alone, so the cuts change nothing.
 
 Defined cases: a null text has no words. Windows of rows with a null doc_id neither remove
 nor are removed. Rows of one doc_id don't remove each other's words. Empty table: no rows.
@@ -27,9 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from riskweave.llm import rounds
-from riskweave.llm.common import chunks, mix, powers, prefix_hash, span_hash, text_buffer, words
+from riskweave.llm.common import chunks, grams_at, mix, numbered, parts, powers, span_hash, text_buffer, word_names
 
-WINDOW, LEVELS = 13, 2
+WINDOW = 13
+#: Words that the rounds take at a time.
+STRETCH = 1 << 16
 
 
 def _wide(word_hashes: np.ndarray) -> np.ndarray:
@@ -85,8 +94,11 @@ def anchors(word_hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
     if not len(starts):
         return starts, np.zeros(0, np.uint64)
     levels, state = [], (mix(word_hashes), np.arange(n), np.arange(n), doc)
-    for turn in range(LEVELS):
+    for turn in range(64):
         state = compress_round(*state, lo, hi, turn)
+        _, nl, nr, of = state
+        if not ((nr - nl < WINDOW) & (nl >= lo[of]) & (nr < hi[of])).any():
+            break
         levels.append(state)
     wide = _wide(word_hashes)
     first, past = starts.copy(), starts + WINDOW  # a window without a decided symbol reveals itself
@@ -110,34 +122,34 @@ def anchors(word_hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
     return starts, span_hash(wide, first, past)
 
 
+def stretches(bounds: np.ndarray):
+    """Word ranges of whole documents, or of overlapping parts of a long one, each with the documents' bounds in it."""
+    for i, j in chunks(bounds, STRETCH):
+        a, b = int(bounds[i]), int(bounds[j])
+        if b - a <= STRETCH + WINDOW - 1:
+            yield a, b, bounds[i : j + 1] - a
+            continue
+        for s in range(a, b - WINDOW + 1, STRETCH):
+            e = min(s + STRETCH + WINDOW - 1, b)
+            yield s, e, np.array([0, e - s])
+
+
 class Block:
-    """The documents of a block: their words' hashes, and on demand windows and revealing keys."""
+    """The documents of a block: their words' names, and on demand windows and revealing keys."""
 
     def __init__(self, table: pa.Table, reveal: bool = True):
         table = rounds.ordered(table)
         self.ids = table["doc_id"].to_pylist()
         self.rank = np.array([-1 if i is None else i for i in self.ids], np.int64)
-        named = np.array([i is not None for i in self.ids], bool)
-        data, offsets = text_buffer(table["text"].chunk(0) if len(table) else pa.array([], pa.string()))
-        hashes, counts, starts, keys, docs = [], [np.zeros(1, np.int64)], [], [], []
-        at = 0
-        for a, b in chunks(offsets):
-            part, inner = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-            first, past, bounds = words(part, inner)
-            hashes.append(span_hash(prefix_hash(part), first, past))
-            counts.append(np.diff(bounds))
-            if reveal:
-                s, k = anchors(hashes[-1], bounds)
-                d = a + np.searchsorted(bounds, s, "right") - 1
-                keep = named[d]
-                starts.append(s[keep] + at)
-                keys.append(k[keep])
-                docs.append(d[keep])
-            at += len(first)
-        self.data, self.offsets = data, offsets
-        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        self.hashes, self.bounds = join(hashes, np.uint64), np.cumsum(np.concatenate(counts))
-        self.starts, self.keys, self.doc = join(starts, np.int64), join(keys, np.uint64), join(docs, np.int64)
+        self.data, self.offsets = text_buffer(table["text"].chunk(0) if len(table) else pa.array([], pa.string()))
+        self.names, self.bounds = word_names(self.data, self.offsets)
+        if not reveal:
+            return
+        found = [(s + a, k) for a, b, inner in stretches(self.bounds) for s, k in [anchors(self.names[a:b, 0], inner)]]
+        starts, keys = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, kind) for i, kind in ((0, np.int64), (1, np.uint64)))
+        doc = (np.searchsorted(self.bounds, starts, "right") - 1).astype(np.int32)
+        keep = np.array([i is not None for i in self.ids], bool)[doc]
+        self.starts, self.keys, self.doc = starts[keep], keys[keep], doc[keep]
 
     def revealing(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ascending distinct keys, whether two documents here have each, and each window's key number."""
@@ -153,19 +165,26 @@ class Block:
 
     def suspects(self, shared: bytes) -> np.ndarray:
         """For each word, whether a window with a shared key starts at it."""
-        out = np.zeros(len(self.hashes), bool)
+        out = np.zeros(len(self.names), bool)
         if len(self.starts):
             out[self.starts[np.frombuffer(shared, np.uint8)[self.revealing()[2]].astype(bool)]] = True
         return out
 
     def windows(self, suspect: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Suspect windows: ascending names, the smallest document of each, and per window its number, start and document."""
+        """Suspect windows: ascending names' first halves, a NAMED row of each, and per window its number, start and document."""
         starts = np.flatnonzero(suspect)
         doc = np.searchsorted(self.bounds, starts, "right") - 1
-        names, number = np.unique(span_hash(_wide(self.hashes), starts, starts + WINDOW), return_inverse=True)
-        low = np.full(len(names), np.iinfo(np.int64).max)
-        np.minimum.at(low, number, self.rank[doc])
-        return names, low, number, starts, doc
+        one, two = (grams_at(self.names, starts, WINDOW, half) for half in (0, 1))
+        at, number = numbered(one, two)
+        load = np.zeros(len(at), NAMED)
+        load["low"] = np.iinfo(np.int64).max
+        load["second"] = two[at]
+        np.minimum.at(load["low"], number, self.rank[doc])
+        return one[at], load, number, starts, doc
+
+
+#: What round two sends of a window: the smallest document that has it, the second half of its name.
+NAMED = np.dtype([("low", "<i8"), ("second", "<u8")])
 
 
 def _shared(keys: list[np.ndarray], loads: list[bytes]) -> list[bytes]:
@@ -178,8 +197,9 @@ def _shared(keys: list[np.ndarray], loads: list[bytes]) -> list[bytes]:
 
 def _earlier(keys: list[np.ndarray], loads: list[bytes]) -> list[bytes]:
     """1 where another block has the window in a smaller document than the asking one."""
-    which, bounds = rounds.grouped(keys)
-    own = np.frombuffer(b"".join(loads), np.int64)
+    given = np.frombuffer(b"".join(loads), NAMED)
+    own = given["low"]
+    which, bounds = rounds.grouped(keys, given["second"])
     low = np.full(which.max() + 1, np.iinfo(np.int64).max)
     np.minimum.at(low, which, own)
     got = (low[which] < own).astype(np.uint8)
@@ -188,16 +208,32 @@ def _earlier(keys: list[np.ndarray], loads: list[bytes]) -> list[bytes]:
 
 def removed_words(block: Block, answers: dict[int, bytes]) -> np.ndarray:
     """For each word of the block, whether it goes."""
-    suspect = np.unpackbits(np.frombuffer(answers.get(rounds.NOTE, b""), np.uint8), count=len(block.hashes)).astype(bool) if answers.get(rounds.NOTE) else np.zeros(len(block.hashes), bool)
-    _, low, number, starts, doc = block.windows(suspect)
-    edge = np.zeros(len(block.hashes) + 1, np.int64)
-    if len(starts):
-        goes = np.frombuffer(answers[2], np.uint8)[number].astype(bool) | (block.rank[doc] > low[number])
+    n = len(block.names)
+    note = answers.get(rounds.NOTE)
+    edge = np.zeros(n + 1, np.int32)
+    if note:
+        _, load, number, starts, doc = block.windows(np.unpackbits(np.frombuffer(note, np.uint8), count=n).astype(bool))
+        goes = np.frombuffer(answers[2], np.uint8)[number].astype(bool) | (block.rank[doc] > load["low"][number])
         s = starts[goes]
-        edge += np.bincount(s, minlength=len(edge)) - np.bincount(s + WINDOW, minlength=len(edge))
+        edge += np.bincount(s, minlength=n + 1).astype(np.int32)
+        edge -= np.bincount(s + WINDOW, minlength=n + 1).astype(np.int32)
     return np.cumsum(edge)[:-1] > 0
 
 
+def kept_words(data: np.ndarray, gone: np.ndarray):
+    """The words that stay, joined by one blank, a part of the text at a time."""
+    at, first = 0, True
+    for a, b in parts(data):
+        words = data[a:b].tobytes().split()
+        mine = gone[at : at + len(words)]
+        at += len(words)
+        if mine.any():
+            words = list(compress(words, ~mine))
+        if words:
+            yield (b"" if first else b" ") + b" ".join(words)
+            first = False
+
+
 OUT = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())]
 
 
@@ -213,23 +249,21 @@ def deduplicate(docs: DataFrame, text: bool = False) -> DataFrame:
     def verify(blk, table, answers):
         block = Block(table)
         suspect = block.suspects(answers.get(1, b""))
-        found, low, *_ = block.windows(suspect)
+        found, load, *_ = block.windows(suspect)
         note = [rounds.note(blk, bits, np.packbits(suspect).tobytes())] if len(found) else []
-        return rounds.questions(blk, 2, bits, found, low) + note
+        return rounds.questions(blk, 2, bits, found, load) + note
 
     def finish(_, table, given):
         block = Block(table, reveal=False)
         gone = removed_words(block, rounds.answered(given))
-        raw = block.data.tobytes()
         rows = []
         for k, doc in enumerate(block.ids):
-            a, b = block.bounds[k], block.bounds[k + 1]
-            kept = raw[block.offsets[k] : block.offsets[k + 1]].split()
-            n = int(gone[a:b].sum())
-            if n:
-                kept = list(compress(kept, ~gone[a:b]))
-            kept = b" ".join(kept)
-            rows.append((doc, int(b - a), n, hashlib.sha256(kept).hexdigest(), *([kept.decode()] if text else [])))
+            mine = gone[block.bounds[k] : block.bounds[k + 1]]
+            digest, kept = hashlib.sha256(), []
+            for part in kept_words(block.data[block.offsets[k] : block.offsets[k + 1]], mine):
+                digest.update(part)
+                kept += [part] if text else []
+            rows.append((doc, len(mine), int(mine.sum()), digest.hexdigest(), *([b"".join(kept).decode()] if text else [])))
         return rounds.rows_table(rows, names, [t for n, t in OUT if n in names])
 
     shared = rounds.answer(rounds.ask(docs, reveal), _shared)

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import by_id, shards
+from riskweave.llm.common import by_id, numbered, shards
 
 #: Text bytes of a block and, for about as many buckets, of the text behind a bucket.
 BLOCK_BYTES = 6 << 20
@@ -100,7 +100,8 @@ def answer(asked: DataFrame, reply: Callable[..., list[bytes]], staged: bool = F
     return asked.groupBy("bucket").applyInArrow(bucket, ANSWER)
 
 
-def grouped(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All rows' keys together: the number of each entry's key, and the entry bounds of the rows."""
-    _, which = np.unique(np.concatenate(keys), return_inverse=True)
+def grouped(keys: list[np.ndarray], seconds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All rows' keys together, with the second halves of their names if there are any: the number of each entry's key, and the entry bounds of the rows."""
+    flat = np.concatenate(keys)
+    which = np.unique(flat, return_inverse=True)[1] if seconds is None else numbered(flat, seconds)[1]
     return which, np.cumsum([0, *map(len, keys)])

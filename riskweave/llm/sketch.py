@@ -1,6 +1,8 @@
 """Near-duplicates on word shingles by SetSketch registers.
 
-A document's set is its distinct 5-word shingles, as 64-bit hashes. Each hash function gives
+A document's set is its distinct 5-word shingles, as 64-bit names made of the words' 128-bit
+ones (one to one up to 16 bytes, digests beyond); two different shingles of one pair of
+documents share a name with a chance of the product of the set sizes over 2**64. Each hash function gives
 an exponentially distributed minimum over the set, kept as a truncated exponent to the base
 B (a register); the registers of a union are the larger ones. Bands of registers propose
 pairs; a joint likelihood over the registers that are larger, smaller and equal discards
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import by_id, chunks, gram_hash, mix, prefix_hash, signed, span_hash, text_buffer, words, written
+from riskweave.llm.common import by_id, chunks, gram_names, mix, signed, text_buffer, word_names, written
 from riskweave.operators.components import components
 
 SHINGLE = 5
@@ -49,15 +51,14 @@ def plan(percent: int) -> tuple[int, int]:
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """Each document's distinct shingle hashes in ascending order."""
-    starts, ends, bounds = words(data, offsets)
-    hashes = span_hash(prefix_hash(data, lower=True), starts, ends)
-    grams = gram_hash(hashes, SHINGLE)
+    names, bounds = word_names(data, offsets, lower=True)
+    grams = gram_names(names, SHINGLE)
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= SHINGLE:
             out.append(np.unique(grams[a : b - SHINGLE + 1]))
         else:
-            out.append(gram_hash(hashes[a:b], b - a) if b > a else grams[:0])
+            out.append(gram_names(names[a:b], b - a) if b > a else grams[:0])
     return out
 
 

@@ -8,11 +8,15 @@ gram's bucket. There equal stretches fall together, and the suffixes to the righ
 backwards, to the left of the gram are put in order by deep-shallow sorting: multikey
 quicksort to SHALLOW bytes, then blind tries for the groups that still agree. The common
 prefixes of neighbours in both orders give how far any two stretches agree around the gram,
-and so exactly which strings repeat. In groups too large for pairs all string starts are
-sorted instead, and neighbours that agree on LENGTH bytes repeat.
+and so exactly which strings repeat: small groups are read off in pairs, larger ones by the
+classes that the two orders form at each depth. Equal stretches of a block are one, known by
+their bytes, so a bucket grows with a gram's different surroundings, not its occurrences.
 
-A gram beyond HOT occurrences is not gathered: each block names the strings around it by
-hashes, once each, and asks whether they occur twice. No bucket grows with a frequent gram.
+A gram with more than `hot` different stretches over all blocks isn't gathered, which would
+be one unbounded task: the strings around it are compared by 128-bit BLAKE2b digests, which
+are spread over all buckets.
+
+A long text is read in parts that overlap by LENGTH - 1 bytes; each string start is in one.
 
 Defined cases: a null text is empty; texts under LENGTH bytes lose nothing but count for
 none either. Rows with a null doc_id take part like others. Repeated rows repeat each
@@ -28,19 +32,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from riskweave.llm import rounds
-from riskweave.llm.common import chunks, mix, powers, prefix_hash, span_hash, text_buffer
+from riskweave.llm.common import CHUNK_BYTES, chunks, mix, numbered, powers, prefix_hash, span_hash, text_buffer
 
 LENGTH, GRAM = 200, 64
 SPAN = LENGTH - GRAM + 1
 SHALLOW = 96
-#: Occurrences of a gram past which its strings are counted by name; classes of a group compared in pairs.
-HOT, PAIRS = 500, 48
+#: Different stretches around a gram past which they aren't gathered; those of a group that are read off in pairs.
+HOT, PAIRS = 50_000, 48
 
 
 def representatives(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """place, first, last, gram hash and name: the string starts first to last are represented by place.
 
-    The name is a hash of the stretch that these strings cover and of the place in it.
+    The name is a hash of the stretch that these strings cover and of the place in it; it only counts.
     """
     n = len(data)
     none = np.zeros(0, np.int64)
@@ -205,7 +209,7 @@ def repeated_starts(grams: list[int], off: list[int], span: list[int], count: li
     _in_pairs([g for g in open_groups if len(g) <= PAIRS], names, width, flags)
     for g in open_groups:
         if len(g) > PAIRS:
-            _in_order(g, names, width, flags)
+            _in_classes(g, names, width, flags)
     return [flags[c] for c in number]
 
 
@@ -239,22 +243,27 @@ def _in_pairs(groups: list[list[int]], names: list[tuple], width: np.ndarray, fl
         first += g
 
 
-def _in_order(group: list[int], names: list[tuple], width: np.ndarray, flags: list[np.ndarray]) -> None:
-    """All starts of the group's stretches in order; neighbours that share LENGTH bytes repeat."""
+def _in_classes(group: list[int], names: list[tuple], width: np.ndarray, flags: list[np.ndarray]) -> None:
+    """For each distance before the gram, strings whose two sides fall into one class of both orders repeat."""
+    k, wide = len(group), width[group]
     data = np.frombuffer(b"".join(names[c][2] for c in group), np.uint8)
-    size = np.array([len(names[c][2]) for c in group])
-    begin = np.cumsum(size) - size
-    starts = np.concatenate([b + np.arange(width[c] + 1) for b, c in zip(begin, group, strict=True)])
-    rows = _matrix(data, starts, np.full(len(starts), LENGTH), 1)
-    order = deep_shallow(rows)
-    same = common_prefixes(rows, order) >= LENGTH
-    twice = np.zeros(len(starts), bool)
-    twice[order[:-1][same]] = True
-    twice[order[1:][same]] = True
-    at = 0
-    for c in group:
-        flags[c] |= twice[at : at + width[c] + 1]
-        at += width[c] + 1
+    off, size = np.array([names[c][1] for c in group]), wide + LENGTH
+    place = np.cumsum(size) - size + off
+    one = np.zeros(k, np.int64)
+    ((right, after),) = _agreement(_matrix(data, place, size - off, 1), one)
+    ((left, before),) = _agreement(_matrix(data, place + GRAM - 1, off + GRAM, -1), one)
+    begin = np.cumsum(wide + 1) - (wide + 1)
+    twice = np.zeros(int((wide + 1).sum()), bool)
+    side = np.zeros((2, k), np.int64)
+    for t in range(SPAN):  # bytes of the string before the gram
+        mine = np.flatnonzero((t <= off) & (t >= off - wide))
+        side[0, left] = np.concatenate([[0], np.cumsum(before < t + GRAM)])
+        side[1, right] = np.concatenate([[0], np.cumsum(after < LENGTH - t)])
+        _, which, times = np.unique(side[0, mine] * k + side[1, mine], return_inverse=True, return_counts=True)
+        hit = mine[times[which] > 1]
+        twice[begin[hit] + off[hit] - t] = True
+    for c, a, w in zip(group, begin.tolist(), wide.tolist(), strict=True):
+        flags[c] |= twice[a : a + w + 1]
 
 
 class Block:
@@ -267,71 +276,72 @@ class Block:
         if not represent:
             return
         parts: list[list] = [[], [], [], [], []]
-        for a, b in chunks(self.offsets):
-            base = self.offsets[a]
-            found = representatives(self.data[base : self.offsets[b]], self.offsets[a : b + 1] - base)
+        for a, b in self._pieces():
+            inner = self.offsets[np.searchsorted(self.offsets, a, "left") : np.searchsorted(self.offsets, b, "right")]
+            inner = np.unique(np.concatenate([[a], inner, [b]])) - a
+            found = representatives(self.data[a:b], inner)
             for k, x in enumerate(found):
-                parts[k].append(x + base if k < 3 else x)
+                parts[k].append(x + a if k < 3 else x)
         self.place, self.first, self.last = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts[:3])
         self.grams, self.names = (np.concatenate(p) if p else np.zeros(0, np.uint64) for p in parts[3:])
 
-    def string_names(self, starts: np.ndarray) -> np.ndarray:
-        """Hashes of the strings at ascending starts, a chunk of text at a time."""
-        out = np.zeros(len(starts), np.uint64)
-        for a, b in chunks(self.offsets):
-            base, end = self.offsets[a], self.offsets[b]
-            i, j = np.searchsorted(starts, [base, end])
-            if i < j:
-                mine = starts[i:j] - base
-                out[i:j] = span_hash(prefix_hash(self.data[base:end]), mine, mine + LENGTH)
-        return out
+    def _pieces(self):
+        """Byte ranges of whole documents, or of a long one's parts, which share LENGTH - 1 bytes."""
+        for i, j in chunks(self.offsets):
+            a, b = int(self.offsets[i]), int(self.offsets[j])
+            if b - a <= CHUNK_BYTES + LENGTH - 1:
+                yield a, b
+                continue
+            for s in range(a, b - LENGTH + 1, CHUNK_BYTES):
+                yield s, min(s + CHUNK_BYTES + LENGTH - 1, b)
 
 
 def _gram_question(blk: int, table: pa.Table, bits: int) -> list[tuple]:
-    keys, count = np.unique(Block(table).grams, return_counts=True)
-    return rounds.questions(blk, 1, bits, keys, count.astype("<u4"))
+    """Stage 1: for each gram twice the number of its different stretches here, and one more if it occurs again here."""
+    block = Block(table)
+    at, _ = numbered(block.grams, block.names)
+    keys, stretches = np.unique(block.grams[at], return_counts=True)
+    times = np.unique(block.grams, return_counts=True)[1]
+    return rounds.questions(blk, 1, bits, keys, (2 * stretches + (times > 1)).astype("<u4"))
 
 
-def _totals(keys: list[np.ndarray], loads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _how_often(keys: list[np.ndarray], loads: list[bytes], hot: int) -> list[bytes]:
+    """0 once, 1 repeated, 2 with too many different stretches to gather."""
     which, bounds = rounds.grouped(keys)
-    return np.bincount(which, np.frombuffer(b"".join(loads), "<u4"))[which], bounds
-
-
-def _how_often(keys: list[np.ndarray], loads: list[bytes]) -> list[bytes]:
-    """0 once, 1 repeated, 2 hot."""
-    total, bounds = _totals(keys, loads)
-    code = (total > 1).astype(np.uint8) + (total > HOT)
+    told = np.frombuffer(b"".join(loads), "<u4")
+    again = (np.bincount(which) > 1) | (np.bincount(which, told & 1) > 0)
+    code = (again.astype(np.uint8) + (np.bincount(which, told >> 1) > hot).astype(np.uint8) * again)[which]
     return [code[a:b].astype(np.uint8).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 _HEAD = np.dtype([("off", "<u2"), ("span", "<u2"), ("count", "<u4")])
+#: What stage 3 sends of a string: the second half of its digest, and how often it starts in the block.
+_COUNTED = np.dtype([("second", "<u8"), ("count", "<u4")])
 
 
 def _stretch_question(blk: int, table: pa.Table, answers: dict[int, bytes], bits: int) -> list[tuple]:
-    """Stage 2: the distinct stretches around repeated grams; stage 3: names of strings around hot ones."""
+    """Stage 2: the distinct stretches around repeated grams; stage 3: digests of strings around hot ones."""
     block = Block(table)
     _, which = np.unique(block.grams, return_inverse=True)
     code = np.frombuffer(answers.get(1, b""), np.uint8)[which] if len(which) else np.zeros(0, np.uint8)
     mine = np.flatnonzero(code == 1)
+    mine = mine[np.argsort(block.grams[mine], kind="stable")]
     first, last, gram, off = block.first[mine], block.last[mine], block.grams[mine], (block.place - block.first)[mine]
-    name = block.names[mine]
-    order = np.lexsort((name, gram))
-    new = np.ones(len(mine), bool)
-    new[1:] = (gram[order][1:] != gram[order][:-1]) | (name[order][1:] != name[order][:-1])
-    item = np.zeros(len(mine), np.int64)
-    item[order] = np.cumsum(new) - 1
-    head = order[new]
-    count = np.bincount(item, minlength=len(head)) if len(head) else np.zeros(0, int)
-    heads = np.zeros(len(head), _HEAD)
-    heads["off"], heads["span"], heads["count"] = off[head], (last - first)[head], count
     raw = block.data.tobytes()
-    load = [h.tobytes() + raw[a : b + LENGTH] for h, a, b in zip(heads, first[head].tolist(), last[head].tolist(), strict=True)]
-    rows = rounds.questions(blk, 2, bits, gram[head], load)
+    known: dict[tuple[int, int, bytes], int] = {}
+    item = np.array([known.setdefault((g, o, raw[a : b + LENGTH]), len(known)) for g, o, a, b in zip(gram.tolist(), off.tolist(), first.tolist(), last.tolist(), strict=True)], np.int64)
+    heads = np.zeros(len(known), _HEAD)
+    heads["off"], heads["span"], heads["count"] = [o for _, o, _ in known], [len(x) - LENGTH for *_, x in known], np.bincount(item, minlength=len(known))
+    rows = rounds.questions(blk, 2, bits, np.array([g for g, *_ in known], np.uint64), [h.tobytes() + x for h, (*_, x) in zip(heads, known, strict=True)])
     hot = np.flatnonzero(code == 2)
     sizes = (block.last - block.first + 1)[hot]
     starts = np.repeat(block.first[hot] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    names, number, times = np.unique(block.string_names(starts), return_inverse=True, return_counts=True)
-    rows += rounds.questions(blk, 3, bits, names, times.astype("<u4"))
+    digest = lambda a: hashlib.blake2b(raw[a : a + LENGTH], digest_size=16).digest()
+    halves = np.frombuffer(b"".join(map(digest, starts.tolist())), "<u8").reshape(-1, 2)
+    at, number = numbered(halves[:, 0], halves[:, 1])
+    load = np.zeros(len(at), _COUNTED)
+    load["second"], load["count"] = halves[at, 1], np.bincount(number, minlength=len(at))
+    rows += rounds.questions(blk, 3, bits, halves[at, 0], load)
     if len(mine) or len(hot):
         parts = np.array([len(mine), len(starts)]), first, last - first + 1, item, starts, number
         rows.append(rounds.note(blk, bits, b"".join(p.astype("<i8").tobytes() for p in parts)))
@@ -342,9 +352,11 @@ def _sorted_out(keys: list[np.ndarray], loads: list[bytes], stages: list[int]) -
     out: list[bytes] = [b""] * len(keys)
     counted = [i for i, s in enumerate(stages) if s == 3]
     if counted:
-        total, bounds = _totals([keys[i] for i in counted], [loads[i] for i in counted])
+        told = np.frombuffer(b"".join(loads[i] for i in counted), _COUNTED)
+        which, bounds = rounds.grouped([keys[i] for i in counted], told["second"])
+        again = (np.bincount(which, told["count"]) > 1)[which].astype(np.uint8)
         for k, i in enumerate(counted):
-            out[i] = (total[bounds[k] : bounds[k + 1]] > 1).astype(np.uint8).tobytes()
+            out[i] = again[bounds[k] : bounds[k + 1]].tobytes()
     grams: list[int] = []
     off, span, count, stretch, where = [], [], [], [], []
     for i, stage in enumerate(stages):
@@ -393,8 +405,11 @@ def removed_bytes(block: Block, answers: dict[int, bytes]) -> np.ndarray:
 OUT = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]
 
 
-def deduplicate(docs: DataFrame, kept: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row; on request the kept bytes too."""
+def deduplicate(docs: DataFrame, kept: bool = False, hot: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row; on request the kept bytes too.
+
+    hot: different stretches of a gram from which on its strings are compared by digests.
+    """
     docs, bits = rounds.blocks_of(docs)
     names = [n for n, _ in OUT if kept or n != "kept"]
 
@@ -411,7 +426,7 @@ def deduplicate(docs: DataFrame, kept: bool = False) -> DataFrame:
             rows.append((doc, int(b - a), n, spans, hashlib.sha256(left).hexdigest(), *([left] if kept else [])))
         return rounds.rows_table(rows, names, [t for n, t in OUT if n in names])
 
-    often = rounds.answer(rounds.ask(docs, lambda blk, t, _: _gram_question(blk, t, bits)), _how_often)
+    often = rounds.answer(rounds.ask(docs, lambda blk, t, _: _gram_question(blk, t, bits)), lambda keys, loads: _how_often(keys, loads, hot))
     around = rounds.answer(rounds.ask(docs, lambda blk, t, a: _stretch_question(blk, t, a, bits), often), _sorted_out, staged=True)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept
     return docs.groupBy("blk").cogroup(around.groupBy("blk")).applyInArrow(finish, schema)

@@ -44,8 +44,14 @@ def test_oracle_queries_agree(spark, sf):
         assert rows(got) == rows(want), name
 
 
-def test_suffix_dedup_against_brute_force(spark, odd, monkeypatch):
-    texts = [(r.doc_id, (r.text or "").encode()) for r in odd.collect()]
+def _colliding(n=1024):
+    """Two different words of n letters that any polynomial hash modulo a power of two confuses."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("xy"[b] for b in bits), "".join("yx"[b] for b in bits)
+
+
+def _wanted_bytes(df):
+    texts = [(r.doc_id, (r.text or "").encode()) for r in df.collect()]
     seen = Counter(t[i : i + 200] for _, t in texts for i in range(len(t) - 199))
     want = Counter()
     for doc, t in texts:
@@ -55,8 +61,54 @@ def test_suffix_dedup_against_brute_force(spark, odd, monkeypatch):
                 gone[i : i + 200] = True
         spans = sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
         want[(doc, len(t), int(gone.sum()), int(spans), hashlib.sha256(bytes(b for b, g in zip(t, gone, strict=True) if not g)).hexdigest())] += 1
+    return want
+
+
+def _around(seed, n):
+    """Texts with one shared passage of 150 to 330 bytes in differing surroundings, some of them shared too."""
+    rng = np.random.default_rng(seed)
+    passage = prose(seed, 90)
+    sides = [prose(seed + 1 + k, 12) for k in range(9)]
+    cut = lambda: passage[: int(rng.integers(150, 330))]
+    return [f"{prose(1000 + k, 20)} {sides[rng.integers(9)]} {cut()} {sides[rng.integers(9)]} {prose(5000 + k, 20)}" for k in range(n)]
+
+
+@pytest.mark.parametrize("hot", [suffix.HOT, 5])
+def test_suffix_dedup_against_brute_force(spark, odd, monkeypatch, hot):
+    """With hot = 5 the passage's grams are compared by digests; else 150 stretches a gram go through the sort."""
+    x, y = _colliding()
+    df = odd.unionByName(docs_of(spark, _around(9, 150) + [f"{prose(5, 30)} {x}", f"{prose(6, 30)} {y}", x + x, y], 1000))
     monkeypatch.setattr(rounds, "BLOCK_BYTES", 8_000)
-    assert Counter(tuple(r) for r in suffix.deduplicate(odd).collect()) == want
+    assert Counter(tuple(r) for r in suffix.deduplicate(df, hot=hot).collect()) == _wanted_bytes(df)
+
+
+def test_suffix_dedup_on_a_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    assert Counter(tuple(r) for r in suffix.deduplicate(df).collect()) == _wanted_bytes(df)
+
+
+def test_words_of_equal_hashes_are_different_words(spark):
+    x, y = _colliding()
+    a, b = "a b c d e f", "g h i j k l m n o p"
+    df = docs_of(spark, [f"{a} {x} {b}", f"{a} {y} {b}", f"{a} {x} {b}"])
+    assert [(r.doc_id, r.n_removed) for r in recompress.deduplicate(df).orderBy("doc_id").collect()] == [(0, 0), (1, 0), (2, 17)]
+    assert [(r.doc_id, r.component_id) for r in sketch.near_duplicates(df, 85).orderBy("doc_id").collect()] == [(0, 0), (1, 1), (2, 0)]
+    assert [(r.doc_id, r.n_shingles) for r in sketch.near_duplicates(docs_of(spark, [f"{x} a b c d {y} a b c d"]), 85).collect()] == [(0, 6)]
+
+
+def test_long_texts_are_read_in_parts(spark):
+    """Several parts of one text: a passage across their borders and its copy elsewhere are found."""
+    rng = np.random.default_rng(8)
+    long = " ".join(map("{:x}".format, rng.integers(0, 1 << 40, 150_000)))  # 1.6 MB
+    at = len(" ".join(long.split()[: (1 << 16) - 20]))
+    df = docs_of(spark, [long, long[at : at + 600], long[(512 << 10) - 300 : (512 << 10) + 300]])
+    got = {r.doc_id: r for r in suffix.deduplicate(df).collect()}
+    assert (got[0].n_removed, got[0].n_spans, got[1].n_removed, got[2].n_removed) == (1200, 2, 600, 600)
+    got = {r.doc_id: r for r in recompress.deduplicate(df).collect()}
+    whole = set(long.split())
+    for k in (1, 2):  # the ends of the copies may be parts of words
+        assert got[k].n_removed >= got[k].n_words - 2 and got[k].n_words - got[k].n_removed == sum(w not in whole for w in df.filter(f"doc_id = {k}").first().text.split())
+    assert got[0].n_removed == 0 and got[0].n_words == 150_000
 
 
 def test_substring_dedup_against_brute_force(spark, odd, monkeypatch):

@@ -11,7 +11,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from riskweave.llm import langid, mixing, packing, recompress, search, secrets, sketch, suffix
-from riskweave.llm.common import chunks, text_buffer, words
+from riskweave.llm import common
+from riskweave.llm.common import chunks, text_buffer, word_names, words
 from riskweave.llm.queries import tokenizer_path
 
 texts = st.lists(st.text(alphabet="ab \t\n\x0bÉß", max_size=40) | st.none(), max_size=8)
@@ -28,6 +29,20 @@ def test_words_are_those_of_the_contract(docs):
         assert found == re.findall(r"[^\x20\x09-\x0D]+", doc or "")
 
 
+@given(st.lists(st.text(alphabet="ab zÉß", max_size=60) | st.none(), max_size=8), st.sampled_from([8, 1 << 20]))
+@settings(max_examples=50, deadline=None)
+def test_names_are_those_of_the_words(docs, most):
+    kept = chunks.__defaults__, common.parts.__defaults__
+    chunks.__defaults__ = common.parts.__defaults__ = (most,)  # texts in small parts give the same names
+    try:
+        names, bounds = word_names(*text_buffer(pa.array(docs, pa.string())), lower=True)
+    finally:
+        chunks.__defaults__, common.parts.__defaults__ = kept
+    found = [w for d in docs for w in (d or "").encode().lower().split()]
+    assert np.diff(bounds).tolist() == [len((d or "").encode().split()) for d in docs]
+    assert len(names) == len(found) and len({*zip(found, map(tuple, names.tolist()), strict=True)}) == len(set(found)) == len(set(map(tuple, names.tolist())))
+
+
 def test_chunks_cover_all_rows_and_long_ones_stand_alone():
     offsets = np.array([0, 5, 5, 30, 32, 33])
     assert list(chunks(offsets, 6)) == [(0, 2), (2, 3), (3, 5)]
@@ -50,11 +65,11 @@ def test_blind_trie_keeps_equal_strings_together():
     assert [strings[i] for i in suffix._blind_trie(strings)] == sorted(strings)
 
 
-def test_repeated_starts_agree_in_pairs_and_in_order(monkeypatch):
+def test_repeated_starts_agree_in_pairs_and_in_classes(monkeypatch):
     rng = random.Random(3)
     gram = bytes(rng.randrange(97, 100) for _ in range(suffix.GRAM))
     grams, off, span, count, stretch = [], [], [], [], []
-    for _ in range(9):
+    for _ in range(40):
         o, w = rng.randrange(20, 60), 19
         left = (b"l" * 60)[: 60 - 1] + bytes([rng.choice(b"lm")])
         body = left[-o:] + gram + b"r" * rng.choice([80, 100, 135]) + bytes(rng.randrange(65, 90) for _ in range(300))
