@@ -207,6 +207,24 @@ def test_search_cases(spark):
     got = search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 50, 3).collect()
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got if r.query_id == 0) == [(0, 1, 6, 131072), (0, 2, 1, 98304), (0, 3, 1, 98304)]
     assert search.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>, label int"), 50).count() == 0
+    assert [tuple(r) for r in search.top_k(spark.createDataFrame([(0, []), (1, []), (0, [])], "vec_id long, embedding array<double>"), 50).collect()] == [(0, 1, 1, 0)]
+
+
+def test_search_scores_beyond_doubles(spark, monkeypatch):
+    big, small = 2.0**20 / 256, 2.0**-8 / 256
+    shape = "vec_id long, embedding array<double>, score string, rank int"  # names of the result's columns too
+    make = lambda rows: spark.createDataFrame([(i, v, "x", -1) for i, v in rows], shape)
+    rows = [(0, [2.0**20, 2.0**-8]), (5, [2.0**19, 0.0]), (7, [2.0**19, 2.0**-8])]
+    assert [tuple(r) for r in search.top_k(make(rows), 50, 1).collect()] == [(0, 1, 7, (1 << 55) + 1)]
+    twice = [(0, [2.0**20]), (3, [2.0**18]), (3, [2.0**19])]
+    assert sorted(tuple(r) for r in search.top_k(make(twice), 50, 2).collect()) == [(0, 1, 3, 1 << 55), (0, 2, 3, 1 << 54)]
+    huge = [(0, [1e300, big]), (1, [1e300, small]), (2, [-1e300, 1.0]), (3, [1e308, 1.0]), (4, [0.0, 1.0])]
+    assert sorted(tuple(r) for r in search.top_k(make(huge), 50, 5).collect()) == [(0, 1, 1, search.MOST), (0, 2, 4, 1 << 28), (0, 3, 2, search.LEAST)]
+    rng = np.random.default_rng(6)
+    many = [(k, [float(x) for x in rng.standard_normal(8)]) for k in range(600)]
+    one = sorted(tuple(r) for r in search.top_k(make(many), 10, 3).collect())
+    monkeypatch.setattr(search, "GROUP_BYTES", 1000)
+    assert sorted(tuple(r) for r in search.top_k(make(many), 10, 3).collect()) == one and len(one) == 180
 
 
 def test_language_cases_and_held_out_accuracy(spark, sf, odd):

@@ -149,21 +149,25 @@ def test_pieces_round_trip():
         assert enc.encode(text) == enc.slowly(text)
 
 
-def test_top_k_is_exact_with_ties_and_short_vectors():
-    import pandas as pd
-
-    rng = np.random.default_rng(2)
-    vecs = [rng.integers(-3, 4, 6) for _ in range(700)] + [np.array([5, 5])]
-    frame = pd.DataFrame({"vec_id": range(701), "vec": [v.astype("<i8").tobytes() for v in vecs], "length2": [float(v @ v) for v in vecs]})
-    padded = np.stack([np.pad(v, (0, 6 - len(v))) for v in vecs])
-    turn = np.linalg.eigh((padded.T @ padded).astype(float))[1][:, ::-1]
-    queries = frame.iloc[::50].assign(floor=-np.inf)
-    got = search.top_of(queries, frame, turn, 5)
-    for q in queries["vec_id"]:
-        scores = padded @ padded[q]
-        want = sorted(((-scores[i], i) for i in range(701) if i != q))[:5]
-        mine = got[got["query_id"] == q]
-        assert sorted(zip(-mine["score"], mine["vec_id"], strict=True)) == want
+@given(st.sampled_from([3, 1 << 20, 1 << 29, 1 << 40, 1 << 70]), st.integers(1, 5))
+@settings(max_examples=25, deadline=None)
+def test_top_k_is_exact_with_ties_and_any_size(top, k):
+    rng = np.random.default_rng(top % 1000 + k)
+    c = np.floor(rng.uniform(-top, top, (700, 6)))
+    c[::3] = np.floor(rng.uniform(-3, 4, (234, 6)))
+    ids = np.arange(700) // 2 * 2 + rng.integers(0, 2, 700)  # some twice
+    order = np.argsort(-np.linalg.norm(c, axis=1), kind="stable")
+    ids, c = ids[order], c[order]
+    turn = np.linalg.qr(rng.standard_normal((6, 6)))[0]
+    asked = [int(np.flatnonzero(ids == i)[0]) for i in sorted(set(ids.tolist()))[::9]]
+    s = search.Search(ids[asked], c[asked], turn, np.full(len(asked), search.NONE), k)
+    for a in range(0, 700, 300):
+        s.meet(ids[a : a + 300], c[a : a + 300])
+    whole = [[int(x) for x in row] for row in c.tolist()]
+    for n, at in enumerate(asked):
+        fit = lambda x: max(search.LEAST, min(search.MOST, x))
+        want = sorted((-fit(sum(x * y for x, y in zip(whole[at], row, strict=True))), int(i)) for i, row in zip(ids, whole, strict=True) if i != ids[at])[:k]
+        assert [(-x, y) for x, y in zip(s.best[n].tolist(), s.best_id[n].tolist(), strict=True)] == want
 
 
 def test_rates_meet_targets_and_stay_nonnegative():
