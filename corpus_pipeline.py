@@ -20,30 +20,43 @@ SIMILAR_PERCENT = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; und (null text, or no letter in it) goes."""
-    teaches = F.col("lang").isNotNull()
-    return langid.predict(docs, langid.train(docs, teaches)).filter(F.col("lang_pred") != "und").select(*docs.columns)
+    """Documents whose language is recognised; und (null text, or no letter in it) goes.
+
+    Empty texts are und; long ones are read whole. Where no row teaches a language, all texts with a letter stay.
+    """
+    model = langid.train(docs, F.col("lang").isNotNull())
+    if not model.langs:
+        return docs.filter(langid.has_letter())
+    return langid.predict(docs, model).filter(F.col("lang_pred") != "und").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group; rows without a doc_id link with nothing and stay."""
-    kept = sketch.near_duplicates(docs, SIMILAR_PERCENT).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    one = docs.join(kept, F.col("doc_id").cast("long") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One document of each group, of the smallest doc_id.
+
+    Rows without a doc_id, and those without words, link with nothing and stay. So do texts of
+    one doc_id that aren't alike: they are told apart by their text, not by the id.
+    """
+    return sketch.deduplicated(docs, SIMILAR_PERCENT)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked and n_chars of the masked text."""
+    """All documents, with secrets masked and n_chars of the masked text; null and empty texts stay as they are."""
     masked = secrets.mask_secrets(docs)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else masked
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by their rates to the target weights of the labelled domains."""
+    """Documents drawn by their rates to the target weights of the labelled domains.
+
+    Rows come as often as their rate says, and rows alike in id and text alike. Null and empty
+    texts have no tokens and the prior's rate; texts of any length are read whole; without a
+    usable label, or without rows, everything stays as it is.
+    """
     return mixing.resampled(docs, table(spark, sf_dir, "labels"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their sequence and place; a null or empty text is one separator, a long one many pieces, an empty table none."""
     return packing.pack(docs, tokenizer_path())
 
 

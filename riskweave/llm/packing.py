@@ -1,7 +1,7 @@
 """Best-fit packing of token pieces, improved by swap-based local search.
 
-Documents become token pieces of at most `capacity` ids; pieces are dealt by a hash to
-shards of about SHARD_PIECES, each shard is packed on its own (best-fit decreasing, then
+Documents become token pieces of at most `capacity` ids; pieces are dealt by a hash of their
+numbers to shards of about SHARD_PIECES, each shard is packed on its own (best-fit decreasing, then
 moves and exchanges that raise the sum of squared fills), so no task grows with the input.
 A shard wastes less than one sequence against packing all at once.
 
@@ -125,31 +125,38 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+def _pairs(sizes: list[int]) -> tuple[list[int], list[tuple[int, int]]]:
+    """Sums of two of a bin's sizes in ascending order, one pair for each. A bin's different sizes are few, as they sum to its fill."""
+    kinds = sorted(set(sizes))
+    found = {x + y: (y, x) for i, x in enumerate(kinds) for y in kinds[:i]} | {2 * x: (x, x) for x in kinds if sizes.count(x) > 1}
+    sums = sorted(found)
+    return sums, [found[s] for s in sums]
+
+
 def _exchange(a: list[int], b: list[int], room: int, more: int) -> tuple[int, list[int], list[int]] | None:
     """The best (gain, taken from a, taken from b) that fills a with at most `room` more, by over `more`.
 
     a and b are sizes in ascending order. Tried: a move, one for one, two for one and one for two.
     """
     best = None
-    pairs = list({a[i] + a[j]: (a[i], a[j]) for i in range(len(a)) for j in range(i)}.items()) if len(a) <= 64 else []
-    pairs.sort()
-    pair_sums = [s for s, _ in pairs]
+    sums, pairs = _pairs(a)
 
     def offer(gain: int, out: list[int], into: list[int]) -> None:
         nonlocal best
         if max(more, 0) < gain <= room and (best is None or gain > best[0]):
             best = gain, out, into
 
-    for i, y in enumerate(b):
+    for y in sorted(set(b)):
         offer(y, [], [y])
         if (k := bisect_left(a, y - room)) < len(a):
             offer(y - a[k], [a[k]], [y])
-        if (k := bisect_left(pair_sums, y - room)) < len(pairs):
-            offer(y - pair_sums[k], list(pairs[k][1]), [y])
-        if len(b) <= 64:
-            for y2 in b[:i]:
-                if (k := bisect_left(a, y + y2 - room)) < len(a):
-                    offer(y + y2 - a[k], [a[k]], [y, y2])
+        if (k := bisect_left(sums, y - room)) < len(sums):
+            offer(y - sums[k], list(pairs[k]), [y])
+        if best and best[0] == room:
+            return best
+    for total, two in zip(*_pairs(b), strict=True):
+        if (k := bisect_left(a, total - room)) < len(a):
+            offer(total - a[k], [a[k]], list(two))
         if best and best[0] == room:
             break
     return best
@@ -225,7 +232,8 @@ def pack_shard(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
 
 def pack(docs: DataFrame, path: str, capacity: int = 2048) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = written(by_id(docs, "doc_id").mapInArrow(lambda it: pieces_of(it, path, capacity), PIECES))
+    # a written number of its own deals each piece, so that rows of one id, or without any, spread too
+    pieces = written(by_id(docs, "doc_id").mapInArrow(lambda it: pieces_of(it, path, capacity), PIECES).withColumn("number", F.monotonically_increasing_id()))
     n = shards(pieces.count(), SHARD_PIECES)
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n)))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("number"), F.lit(n))).drop("number")
     return dealt.groupBy("shard").applyInPandas(lambda pdf: pack_shard(pdf, capacity), PACKED)

@@ -11,16 +11,21 @@ proposals that are far too unlike; the rest is confirmed on the full sets.
 Equal sets are one class from the start. In a band's bucket every class is held against the
 bucket's smallest class only. Classes that buckets tie together, directly or through others,
 are a clump; where a clump still falls into several components, every class outside its
-largest one is compared with all of the clump, on full sets, block by block inside tasks
-that put out spanning links only. So no link is lost and no pairs are written out.
+largest one is compared with those of the clump whose sizes admit the similarity, on full
+sets, in blocks of bounded bytes inside tasks that put out spanning links only. So no link
+is lost and no pairs are written out.
 
 Defined cases: a null text, or one without words, has no shingles and links with nothing; so
 does a row with a null doc_id (its component is null). Rows that share a doc_id are one
-document for components. Repeated rows repeat. An empty table gives no rows.
+document for components; `deduplicated` tells them apart by their texts. Repeated rows
+repeat; `deduplicated` keeps one of them. Long texts are read in parts that cut no word.
+Columns but doc_id and text are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,8 +46,9 @@ UNLIKELY = 15.0
 _rng = np.random.default_rng(11)
 _FLIP = _rng.integers(0, 1 << 63, MOST, np.uint64)
 _MULT = _rng.integers(0, 1 << 62, MOST, np.uint64) * np.uint64(2) + np.uint64(1)
-#: Classes of a block of outsiders and of a clump, and rows of a task of many small clumps.
-OUTSIDE, INSIDE, TASK_ROWS = 256, 512, 2000
+#: Classes of a block of outsiders and of a clump, and bytes of sets of a block and of a task of many blocks.
+OUTSIDE, INSIDE, BLOCK_BYTES, TASK_BYTES = 256, 512, 4 << 20, 8 << 20
+NAME = ["n_shingles", "f1", "f2"]
 
 
 def plan(percent: int) -> tuple[int, int]:
@@ -71,9 +77,9 @@ def registers(shingles: np.ndarray, count: int = MOST) -> np.ndarray:
 
 
 def _sketch(batches, count: int):
-    """mapInArrow: (doc_id, text) to doc_id, n, two sums that name the set, registers."""
+    """mapInArrow: (doc_id, hash of the text, text) to both, n, two sums that name the set, registers."""
     for batch in batches:
-        data, offsets = text_buffer(batch.column(1))
+        data, offsets = text_buffer(batch.column(2))
         n, f1, f2, regs = [], [], [], []
         for a, b in chunks(offsets):
             for s in shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
@@ -82,7 +88,7 @@ def _sketch(batches, count: int):
                 f2.append(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
                 regs.append(registers(s, count).tobytes() if len(s) else b"")
         f1, f2 = (pa.array(signed(np.array(f, np.uint64))) for f in (f1, f2))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), f1, f2, pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "regs"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), f1, f2, pa.array(regs, pa.binary())], names=["doc_id", "t", *NAME, "regs"])
 
 
 def _band_rows(batches, bands: int, rows: int):
@@ -143,9 +149,10 @@ def _confirm(batches, percent: int):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, shingles: the distinct sets of the documents named by ids (one column, id)."""
-    texts = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+def _sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, shingles: the sets of the classes named by ids (one column, id), from a document of each."""
+    of = classes.join(ids, F.col("cls") == F.col("id")).select("id", F.col("least.doc_id").alias("doc_id"), F.col("least.t").alias("t"))
+    texts = docs.join(of, ["doc_id", "t"]).select("id", "text").dropDuplicates(["id"])
     return written(texts.mapInArrow(_sets, "id long, shingles binary"))
 
 
@@ -156,27 +163,56 @@ def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return written(with_b.mapInArrow(lambda it: _confirm(it, percent), "a long, b long").distinct())
 
 
+def _read(docs: DataFrame) -> DataFrame:
+    return by_id(docs, "doc_id").withColumn("t", F.xxhash64("text"))
+
+
+def _classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows' doc_id, t and set, and the classes of equal sets that have a document: cls (any unique number), least (doc_id, t), regs."""
+    bands, rows = plan(percent)
+    sig = written(docs.select("doc_id", "t", "text").mapInArrow(lambda it: _sketch(it, bands * rows), "doc_id long, t long, n_shingles long, f1 long, f2 long, regs binary"))
+    held = sig.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*NAME).agg(F.min(F.struct("doc_id", "t")).alias("least"), F.first("regs").alias("regs"))
+    return sig, written(held.withColumn("cls", F.monotonically_increasing_id()))
+
+
 def near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; links at a similarity of percent/100 or more."""
-    docs = by_id(docs, "doc_id")
-    bands, rows = plan(percent)
-    sig = written(docs.mapInArrow(lambda it: _sketch(it, bands * rows), "doc_id long, n_shingles long, f1 long, f2 long, regs binary"))
-    name = ["n_shingles", "f1", "f2"]
-    classes = sig.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*name).agg(F.min("doc_id").alias("cls"), F.first("regs").alias("regs"))
-    classes = written(classes)
-    links = _links(docs, classes, percent)
-    whole = components(_own_ids(sig, classes).unionByName(links))
-    named = classes.select(*name, "cls").join(whole, F.col("cls") == F.col("id"), "left").select(*name, F.coalesce("component", "cls").alias("component_id"))
-    out = sig.select("doc_id", *name).join(written(named), name, "left")
+    docs = _read(docs)
+    sig, classes = _classes(docs, percent)
+    whole = components(_own_ids(sig, classes).unionByName(_links(docs, classes, percent)))
+    named = written(_componented(classes, whole))
+    # a component's id is its smallest doc_id
+    least = named.groupBy("component").agg(F.min("least.doc_id").alias("component_id"))
+    out = sig.select("doc_id", *NAME).join(written(named.join(least, "component").select(*NAME, "component_id")), NAME, "left")
     own = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def deduplicated(docs: DataFrame, percent: int) -> DataFrame:
+    """docs with one row of each group: the smallest doc_id, of its texts in the group the one of the smallest hash.
+
+    Rows without a doc_id or without words stay. Alike are texts, whatever doc_id they have.
+    """
+    read = _read(docs)
+    _, classes = _classes(read, percent)
+    named = _componented(classes, components(_links(read, classes, percent)))
+    kept = named.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("__id"), F.col("least.t").alias("__t"))
+    here = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__t": F.xxhash64(F.col("text").cast("string"))})
+    free = F.col("__id").isNull() | ~F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    one = here.filter(~free).join(kept, ["__id", "__t"], "left_semi").dropDuplicates(["__id", "__t"])
+    return one.unionByName(here.filter(free)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _componented(classes: DataFrame, whole: DataFrame) -> DataFrame:
+    return classes.drop("regs").join(whole, F.col("cls") == F.col("id"), "left").select(*NAME, "least", F.coalesce("component", "cls").alias("component"))
+
+
 def _own_ids(sig: DataFrame, classes: DataFrame) -> DataFrame:
     """Links between classes that share a document, which needs two texts under one doc_id."""
-    ids = sig.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "f1", "f2").distinct()
+    ids = sig.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", *NAME).distinct()
     twice = ids.join(ids.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "doc_id", "left_semi")
-    return twice.join(classes.select("n_shingles", "f1", "f2", "cls"), ["n_shingles", "f1", "f2"]).select(F.col("doc_id").alias("a"), F.col("cls").alias("b"))
+    named = written(twice.join(classes.select(*NAME, "cls"), NAME).select("doc_id", "cls"))
+    return named.join(named.groupBy("doc_id").agg(F.min("cls").alias("a")), "doc_id").select("a", F.col("cls").alias("b"))
 
 
 def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -185,31 +221,43 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     banded = sized.mapInArrow(lambda it: _band_rows(it, bands, rows), "key long, cls long, n long")
     hubs = banded.groupBy("key").agg(F.min("cls").alias("hub"), F.count("*").alias("many")).filter("many > 1").select("key", "hub")
     star = written(banded.join(written(hubs), "key").filter("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct())
-    head = sized.groupBy(F.col("cls").alias("id")).agg(F.first("n").alias("n"), F.first("regs").alias("regs"))
-    side = lambda x: head.select(F.col("id").alias(x), F.col("n").alias("n_" + x), F.col("regs").alias("regs_" + x))
+    # classes are unique as written, so that adaptive execution can split a hub's rows
+    side = lambda x: sized.select(F.col("cls").alias(x), F.col("n").alias("n_" + x), F.col("regs").alias("regs_" + x))
     met = star.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     tried = written(met.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(lambda it: _likely(it, percent), "a long, b long"))
     clumps = written(components(star))
-    sets = _sets_of(docs, clumps.select("id"))
+    sets = _sets_of(docs, classes, clumps.select("id"))
     links = _confirmed(sets, tried, percent)
-    return links.unionByName(_across(sets, clumps.withColumnRenamed("component", "clump"), components(links), percent))
+    sized_clumps = clumps.withColumnRenamed("component", "clump").join(classes.select(F.col("cls").alias("id"), F.col("n_shingles").alias("n")), "id")
+    return links.unionByName(_across(sets, sized_clumps, components(links), percent))
 
 
 def _across(sets: DataFrame, clumps: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
-    """Links between components of one clump: classes outside its largest component against all of it."""
-    member = written(clumps.join(linked, "id", "left").select("id", "clump", F.coalesce("component", "id").alias("comp")))
-    count = member.groupBy("clump", "comp").agg(F.count("*").alias("n"))
-    shape = count.groupBy("clump").agg(F.max(F.struct("n", F.col("comp").alias("main"))).alias("top"), F.sum("n").alias("whole"), F.count("*").alias("comps"))
-    shape = shape.filter("comps > 1").select("clump", "top.main", F.ceil(F.col("whole") / INSIDE).cast("int").alias("ins"), F.ceil((F.col("whole") - F.col("top.n")) / OUTSIDE).cast("int").alias("outs"))
-    open_ = written(member.join(written(shape), "clump"))
+    """Links between components of one clump: classes outside its largest component against all of it that their sizes admit.
+
+    clumps: id, clump, n. Sizes fall into bands such that alike sets are in one band or in neighbouring ones.
+    """
+    member = written(clumps.join(linked, "id", "left").select("id", "clump", "n", F.coalesce("component", "id").alias("comp")))
+    count = member.groupBy("clump", "comp").agg(F.count("*").alias("many"))
+    top = count.groupBy("clump").agg(F.max(F.struct("many", F.col("comp").alias("main"))).alias("top"), F.count("*").alias("comps"))
+    open_ = member.join(written(top.filter("comps > 1").select("clump", "top.main")), "clump")
+    open_ = open_.withColumn("band", F.floor(F.log("n") / (math.log(100 / percent) * (1 + 1e-9))).cast("int"))
+    names = ["clump", "band", "id", "comp", "n", "side"]
+    inner = open_.withColumn("side", F.lit(0)).select(*names)
+    outer = open_.filter("comp <> main").withColumn("side", F.lit(1)).withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
+    both = written(inner.unionByName(outer.select(*names)))
+    blocks = lambda side, most: F.greatest(F.ceil(F.count_if(F.col("side") == side) / most), F.ceil(F.sum(F.when(F.col("side") == side, 8 * F.col("n"))) / BLOCK_BYTES)).cast("int")
+    shape = written(both.groupBy("clump", "band").agg(blocks(0, INSIDE).alias("ins"), blocks(1, OUTSIDE).alias("outs")).filter("ins > 0 AND outs > 0"))
     at = lambda parts, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(parts)).cast("int")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    inner = open_.withColumns({"inside": at("ins", 1), "side": F.lit(0)}).withColumn("outside", every("outs"))
-    outer = open_.filter("comp <> main").withColumns({"outside": at("outs", 2), "side": F.lit(1)}).withColumn("inside", every("ins"))
-    names = ["clump", "outside", "inside", "side", "id", "comp"]
-    dealt = written(inner.select(*names).unionByName(outer.select(*names)))
-    tasks = F.pmod(F.xxhash64("clump", "outside", "inside"), F.lit(max(1, dealt.count() // TASK_ROWS))).cast("int")
-    full = dealt.withColumn("task", tasks).join(sets, "id").select("task", *names, "shingles")
+    every = lambda parts: F.sequence(F.lit(0), F.col(parts) - 1)
+    own = F.when(F.col("side") == 0, at("ins", 1)).otherwise(at("outs", 2))
+    met = F.explode(F.when(F.col("side") == 0, every("outs")).otherwise(every("ins")))
+    dealt = both.join(shape, ["clump", "band"]).select("clump", "band", "side", "id", "comp", "n", own.alias("own"), met.alias("met"))
+    cell = ["clump", "band", "outside", "inside"]
+    is_in = F.col("side") == 0
+    dealt = written(dealt.withColumns({"outside": F.when(is_in, F.col("met")).otherwise(F.col("own")), "inside": F.when(is_in, F.col("own")).otherwise(F.col("met"))}).drop("own", "met"))
+    tasks = max(1, (dealt.agg(F.sum(8 * F.col("n"))).first()[0] or 0) // TASK_BYTES)
+    full = dealt.withColumn("task", F.pmod(F.xxhash64(*cell), F.lit(tasks)).cast("int")).join(sets, "id").select("task", *cell, "side", "id", "comp", "shingles")
     return written(full.groupBy("task").applyInArrow(lambda t: _compare(t, percent), "a long, b long").distinct())
 
 
@@ -219,7 +267,7 @@ def _compare(table: pa.Table, percent: int) -> pa.Table:
     sets = [np.frombuffer(s, np.uint64) for s in table["shingles"].to_pylist()]
     size = np.array([len(s) for s in sets])
     found: set[tuple[int, int]] = set()
-    for _, part in frame.groupby(["clump", "outside", "inside"], sort=True):
+    for _, part in frame.groupby(["clump", "band", "outside", "inside"], sort=True):
         rows = part.index.to_numpy()
         inner, outer = rows[part["side"].to_numpy() == 0], rows[part["side"].to_numpy() == 1]
         if not len(inner) or not len(outer):

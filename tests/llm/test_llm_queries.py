@@ -275,6 +275,54 @@ def test_packing_query_round_trip(spark, odd):
     assert packing.pack(odd.limit(0), queries.tokenizer_path()).count() == 0
 
 
+def test_pieces_without_ids_spread_over_the_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_PIECES", 100)
+    got = packing.pack(docs_of(spark, ["NOID"] * 1000), queries.tokenizer_path(), 64).toPandas()
+    shard = (got["sequence_id"] // (1 << 32)).value_counts()
+    assert len(got) == 1000 and len(shard) == 10 and shard.max() < 160
+
+
+def test_dedup_tells_texts_of_one_id_apart(spark):
+    near = prose(2, 120)
+    texts = [(7, prose(20, 50)), (7, prose(21, 50)), (8, near), (3, near + " x"), (3, near + " x"), (9, ""), (9, ""), (None, near), (5, near + " y")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(texts)], "doc_id long, text string, t int").withColumn("cls", F.lit("clash"))
+    got = sketch.deduplicated(docs, 80)
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([*texts[:2], texts[3], *texts[5:8]])
+    joined = {r.doc_id: r.component_id for r in sketch.near_duplicates(docs, 80).collect()}
+    assert joined == {7: 7, 8: 3, 3: 3, 9: 9, None: None, 5: 3}
+
+
+@pytest.mark.parametrize("block", [1 << 9, 1 << 22])
+def test_clumps_are_compared_in_blocks_of_bounded_bytes(spark, monkeypatch, block):
+    monkeypatch.setattr(sketch, "BLOCK_BYTES", block)
+    monkeypatch.setattr(sketch, "TASK_BYTES", 4 * block)
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(24):  # sets of 100 to 330 around one core
+        core = [("s", j) for j in range(100)] + [("m", j) for j in range(int(rng.integers(0, 30)) * 8)]
+        rows.append((k, np.sort(np.unique(np.array([hash_of(x) for x in core] + rng.integers(0, 1 << 62, 5).tolist(), np.uint64)))))
+    sets = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in rows], "id long, shingles binary")
+    clumps = spark.createDataFrame([(k, 0, len(s)) for k, s in rows], "id long, clump long, n long")
+    linked = spark.createDataFrame([(0, 0), (1, 0)], "id long, component long")
+    got = {(r.a, r.b) for r in sketch._across(sets, clumps, linked, 85).collect()}
+    comp = {k: k for k, _ in rows} | {1: 0}
+    alike = [(a, b) for a, x in rows for b, y in rows if a < b and sketch.alike(x, y, 85)]
+    assert got <= {p for a, b in alike for p in ((a, b), (b, a))}
+
+    def united(links):
+        c = dict(comp)
+        for a, b in links:
+            c = {k: min(c[a], c[b]) if v in (c[a], c[b]) else v for k, v in c.items()}
+        return c
+
+    assert united(got) == united(alike) and len(set(united(got).values())) > 1
+
+
+def hash_of(x):
+    return int.from_bytes(hashlib.blake2b(repr(x).encode(), digest_size=8).digest(), "little") >> 2
+
+
 @pytest.mark.parametrize("run", [lambda d: suffix.deduplicate(d), lambda d: recompress.deduplicate(d), lambda d: sketch.near_duplicates(d, 85), lambda d: secrets.secret_spans(d)])
 def test_empty_tables(spark, odd, run):
     assert run(odd.limit(0)).count() == 0

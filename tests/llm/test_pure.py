@@ -141,6 +141,13 @@ def test_local_search_empties_a_bin():
     assert len(packing.improve([[6], [5, 3], [5, 1]], 10)) == 2 and len(packing.improve([[4, 4], [3, 3, 2], [2, 2]], 10)) == 2
 
 
+def test_exchanges_are_tried_in_bins_of_many_pieces():
+    assert len(packing.improve([[1] * 70 + [20], [11, 3]], 100)) == 2  # 104 of 200
+    taker, giver = [2] * 45 + [5, 3], [10] + [1] * 70  # 98 of 100: 5 and 3 for 10
+    assert packing._exchange(sorted(taker), sorted(giver), 2, -19)[0] == 2
+    assert packing._exchange([7] * 80, [1] * 90 + [3, 6], 2, -1000)[0] == 2  # 3 and 6 for 7
+
+
 def test_pieces_round_trip():
     assert packing.cut(1, 2048) == [(0, 1)] and packing.cut(2048, 2048) == [(0, 2048)]
     assert packing.cut(5000, 2048) == [(0, 904), (904, 2048), (2952, 2048)]
