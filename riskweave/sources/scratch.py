@@ -13,9 +13,14 @@ _roots: set[str] = set()
 def scratch_root(spark: SparkSession) -> str:
     """This application's folder below spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a laptop) a folder of ours takes its place.
+    Only where that setting is absent and the master is local (tests, a laptop) a folder of
+    ours takes its place; elsewhere executors would write to their own disks.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "/tmp/checkpoints"
     root = f"{base.rstrip('/')}/riskweave-{spark.sparkContext.applicationId}"
     if root not in _roots:
         _roots.add(root)
