@@ -2,6 +2,9 @@
 
 from riskweave.llm import urls
 
+#: Segments that the SQL of op5 reads; the operator reads all.
+LEVELS = 6
+
 
 def _url_sql() -> str:
     hosts = {(h, p): v for v, h, p in urls.RULES}
@@ -9,17 +12,18 @@ def _url_sql() -> str:
     fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
     rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for h, p in ordered) + " END"
     by_rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{hosts[h, p]}'" for h, p in ordered) + " END"
-    levels, at = [], "t0"
-    for k in range(1, urls.DEPTH + 1):
+    levels = []
+    for k in range(1, LEVELS + 1):
         levels.append(f"""
-        c{k} AS (SELECT *, coalesce(segs[{k + 1}], '') AS child FROM {at}),
+        c{k} AS (SELECT *, segs[{k + 1}] AS child FROM t{k - 1} WHERE len(segs) > {k}),
         k{k} AS (SELECT host, node, child, sum(n) AS c_n, sum(lab) AS c_lab, sum(bad) AS c_bad FROM c{k} GROUP BY ALL),
-        p{k} AS (SELECT host, node, sum(c_n) AS p_n, sum(c_lab) AS p_lab, sum(c_bad) AS p_bad, count(*) AS kids FROM k{k} GROUP BY ALL),
-        s{k} AS (SELECT k.host, k.node, k.child, CASE WHEN (kids >= {urls.MANY} AND p_n <= {urls.RARE} * kids)
-                   OR pow((c_bad * p_lab - p_bad * c_lab)::DOUBLE, 2) <= (4 * p_bad * (p_lab - p_bad) * c_lab)::DOUBLE THEN '*' ELSE k.child END AS "to"
-                 FROM k{k} k JOIN p{k} p USING (host, node)),
+        p{k} AS (SELECT host, node, sum(c_lab) AS p_lab, sum(c_bad) AS p_bad, count(*) FILTER (c_n <= {urls.RARE}) >= {urls.MANY} AS varies FROM k{k} GROUP BY ALL),
+        f{k} AS (SELECT host, node, child, varies AND c_n <= {urls.RARE} AS rare,
+                        NOT (varies AND c_n <= {urls.RARE}) AND c_lab > 0 AND pow((c_bad * p_lab - p_bad * c_lab)::DOUBLE, 2) <= (4 * p_bad * (p_lab - p_bad) * c_lab)::DOUBLE AS alike
+                 FROM k{k} JOIN p{k} USING (host, node)),
+        s{k} AS (SELECT host, node, child, CASE WHEN rare OR (alike AND count(*) FILTER (alike) OVER (PARTITION BY host, node) > 1) THEN '*' ELSE child END AS "to" FROM f{k}),
         t{k} AS (SELECT c.host, shape, n, lab, bad, segs, c.node || '/' || "to" AS node FROM c{k} c JOIN s{k} s ON c.host = s.host AND c.node = s.node AND c.child = s.child)""")
-        at = f"t{k}"
+    ended = " UNION ALL ".join([f"SELECT host, shape, lab, bad, node FROM t{k} WHERE len(segs) <= {k + 1}" for k in range(LEVELS)] + [f"SELECT host, shape, lab, bad, node FROM t{LEVELS}"])
     return f"""
     WITH rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
     parts AS (SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -32,11 +36,13 @@ def _url_sql() -> str:
     marked AS (SELECT host, shape, CASE WHEN is_bad IS NULL THEN 0 ELSE 1 END AS labelled, coalesce(is_bad, 0) AS bad FROM seen LEFT JOIN marks USING (page_id)),
     t0 AS (SELECT host, shape, count(*) AS n, sum(labelled) AS lab, sum(bad) AS bad, string_split(shape, '/') AS segs, '' AS node FROM marked GROUP BY host, shape),
     {",".join(levels)},
-    counts AS (SELECT host, node, sum(lab) AS t_lab, sum(bad) AS t_bad FROM {at} GROUP BY ALL),
-    prior AS (SELECT sum(bad)::DOUBLE / greatest(sum(labelled), 1) AS p FROM marked)
+    ended AS ({ended}),
+    counts AS (SELECT host, node, sum(lab) AS t_lab, sum(bad) AS t_bad FROM ended GROUP BY ALL),
+    prior AS (SELECT coalesce(sum(bad), 0)::DOUBLE / (coalesce(sum(labelled), 0) + {urls.PRIOR}) AS p FROM marked),
+    hosts AS (SELECT host, (sum(bad) + {urls.PRIOR} * any_value(p)) / (sum(labelled) + {urls.PRIOR}) AS own FROM marked, prior GROUP BY host)
     SELECT s.page_id, s.host, s.path, s.rule, t.node AS template,
-           coalesce(s.by_rule, CASE WHEN (c.t_bad + {urls.PRIOR} * prior.p) / (c.t_lab + {urls.PRIOR}) >= {urls.PURITY} THEN 'block' ELSE 'allow' END) AS verdict
-    FROM seen s JOIN {at} t ON s.host = t.host AND s.shape = t.shape JOIN counts c ON t.host = c.host AND t.node = c.node, prior
+           coalesce(s.by_rule, CASE WHEN (c.t_bad + {urls.PRIOR} * h.own) / (c.t_lab + {urls.PRIOR}) >= {urls.PURITY} THEN 'block' ELSE 'allow' END) AS verdict
+    FROM seen s JOIN ended t ON s.host = t.host AND s.shape = t.shape JOIN counts c ON t.host = c.host AND t.node = c.node JOIN hosts h ON h.host = s.host
     """
 
 

@@ -85,16 +85,27 @@ def entropy_spans(run: str, at: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in spans]
 
 
-def _outside(span: tuple[int, int], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """The parts of span that no base span covers; base is in order."""
-    out, (at, end) = [], span
+def _outside(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of spans that no base span covers; both are in order, spans are apart. One sweep over the two."""
+    closed: list[list[int]] = []  # base spans united
     for a, b, _ in base:
-        if a >= end:
-            break
-        if a > at:
-            out.append((at, a))
-        at = max(at, b)
-    return [*out, (at, end)] if at < end else out
+        if closed and a <= closed[-1][1]:
+            closed[-1][1] = max(closed[-1][1], b)
+        else:
+            closed.append([a, b])
+    out, i = [], 0
+    for at, end in spans:
+        while i < len(closed) and closed[i][1] <= at:
+            i += 1
+        k = i
+        while k < len(closed) and closed[k][0] < end:
+            if closed[k][0] > at:
+                out.append((at, closed[k][0]))
+            at = max(at, closed[k][1])
+            k += 1
+        if at < end:
+            out.append((at, end))
+    return out
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -107,9 +118,7 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     runs = [(m.start(), m.group()) for m in RUN.finditer(text)]
     # a hex match of 32 lies in a run, and no character beside a run belongs to the match
     found += [(at + m.start(), at + m.end(), 2) for at, run in runs if len(run) >= 32 for m in HEX.finditer(run) if m.end() - m.start() >= 32]
-    base = sorted(found)
-    for at, run in runs:
-        found += [(a, b, 3) for span in entropy_spans(run, at) for a, b in _outside(span, base)]
+    found += [(a, b, 3) for a, b in _outside([span for at, run in runs for span in entropy_spans(run, at)], sorted(found))]
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
