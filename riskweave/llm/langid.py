@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import chunks, extended, text_buffer
+from riskweave.llm.common import CHUNK_BYTES, chunks, extended, text_buffer
 
 #: Bounds of the fit: rows sampled, characters of a sampled text, landmarks a language.
 TRAIN_ROWS, TRAIN_CHARS, LANDMARKS = 1200, 8_000, 24
@@ -91,17 +91,27 @@ def _tables(grams: np.ndarray) -> list[np.ndarray]:
 _ready: list = [None, None, None]  # a worker's model, its tables and a workspace
 
 
-def scores(data: np.ndarray, offsets: np.ndarray, model: Model, tables: list[np.ndarray], seen: np.ndarray) -> np.ndarray:
-    """One row per document of the chunk: its score for each language. seen: a workspace of zeros."""
-    n, width = len(offsets) - 1, len(model.grams) + 1
-    flat = seen[: n * width]
-    row = np.repeat(np.arange(n, dtype=np.int64) * width, np.diff(offsets))
+def _mark(data: np.ndarray, offsets: np.ndarray, tables: list[np.ndarray], flat: np.ndarray, width: int) -> None:
+    """Marks the n-grams that the documents hold, one row of flat each."""
+    row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int64) * width, np.diff(offsets))
     left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))  # bytes up to the document's end
     for k, codes in enumerate(gram_codes(data)):
         size = len(codes)
         column = tables[k][codes - np.uint32(k << 24)]
         inside = left[:size] > k
         flat[row[:size][inside] + column[inside]] = 1
+
+
+def scores(data: np.ndarray, offsets: np.ndarray, model: Model, tables: list[np.ndarray], seen: np.ndarray) -> np.ndarray:
+    """One row per document of the chunk: its score for each language. seen: a workspace of zeros."""
+    n, width = len(offsets) - 1, len(model.grams) + 1
+    flat = seen[: n * width]
+    if n == 1:  # a long text in parts that share what an n-gram may span
+        for a in range(0, len(data), CHUNK_BYTES):
+            part = data[a : a + CHUNK_BYTES + 2]
+            _mark(part, np.array([0, len(part)]), tables, flat, width)
+    else:
+        _mark(data, offsets, tables, flat, width)
     p = flat.reshape(n, width)[:, :-1].astype(np.float32)
     flat[:] = 0
     return p @ model.weights[:-1] / np.sqrt(np.maximum(p.sum(1, keepdims=True), 1)) + model.weights[-1]

@@ -35,6 +35,8 @@ _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_OF = {chr(b): b for b in _SHOWN} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
 #: Runs of white space from this length go past tiktoken, whose pattern backtracks over them on the stack.
 _BLANKS, _LONG_RUN = re.compile(r"(?<!\s)\s{50000}"), 50_000
+#: Characters of a long text that are encoded at a time, and the places to cut: before a blank between two words, where the pattern always parts.
+_PART, _CUT = 1_000_000, re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -64,6 +66,9 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if any(t in text for t in self.special) or (len(text) >= _LONG_RUN and _BLANKS.search(text)):
             return self.slowly(text)
+        return b"".join(map(self._quickly, _cut_up(text)))
+
+    def _quickly(self, text: str) -> bytes:
         try:
             ids = array("I", self.ids(text))
         except BaseException as e:  # a panic of its regex is no Exception
@@ -75,6 +80,14 @@ class Encoder:
         return ids.tobytes()
 
 
+def _cut_up(text: str):
+    at = 0
+    while len(text) - at > _PART and (cut := _CUT.search(text, at + _PART)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)

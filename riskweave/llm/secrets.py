@@ -7,7 +7,8 @@ window before it, as one character leaves and one enters. Windows at or over the
 bound are united to spans. Allow-listed runs (words, paths, identifiers of fixed shape) and
 what base spans cover are left out; the rest of an entropy span beside a base span stays.
 
-Nulls: a null text is empty and has no spans. Positions count code points, ends exclusive.
+Nulls: a null text is empty and has no spans. Long texts are read whole, in time linear in
+their length. Columns but doc_id and text are not read. Positions count code points, ends exclusive.
 Each row is judged alone, so repeated rows repeat; an empty table gives no rows.
 """
 
@@ -43,10 +44,10 @@ ALLOW = (
 _TERM = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 
-def window_entropies(run: str) -> list[float]:
+def window_entropies(run: str):
     """Shannon entropy of every window of run, from incremental counts."""
     counts: dict[str, int] = {}
-    total, out = 0.0, []
+    total = 0.0
     for i, c in enumerate(run):
         n = counts.get(c, 0)
         counts[c] = n + 1
@@ -57,8 +58,7 @@ def window_entropies(run: str) -> list[float]:
             counts[gone] = n - 1
             total += _TERM[n - 1] - _TERM[n]
         if i >= WINDOW - 1:
-            out.append(_LOG_WINDOW - total / WINDOW)
-    return out
+            yield _LOG_WINDOW - total / WINDOW
 
 
 _LOG_WINDOW = math.log2(WINDOW)

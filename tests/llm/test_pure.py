@@ -220,6 +220,25 @@ def test_a_big_group_of_near_copies_shares_a_leaf_at_any_size():
         assert share[link].all()
 
 
+def test_long_texts_are_encoded_in_parts(monkeypatch):
+    enc = packing.encoder(tokenizer_path())
+    rng = random.Random(1)
+    text = "".join(rng.choice(["word", " ", "  ", "\n", "'s", "12", " x", "é", ".", "ab cd"]) for _ in range(4000))
+    monkeypatch.setattr(packing, "_PART", 50)
+    assert len(list(packing._cut_up(text))) > 20 and "".join(packing._cut_up(text)) == text
+    assert enc.encode(text) == enc.slowly(text)
+
+
+def test_a_long_text_is_scored_in_parts_alike(monkeypatch):
+    rows = [("der die das und nicht ein haus", "de"), ("the and of that house is", "en")] * 8
+    model = langid.fit(rows)
+    tables, seen = langid._tables(model.grams), np.zeros(len(model.grams) + 1, np.uint8)
+    data, offsets = text_buffer(pa.array(["das haus und die kleine maus in der wiese"]))
+    whole = langid.scores(data, offsets, model, tables, seen)
+    monkeypatch.setattr(langid, "CHUNK_BYTES", 5)
+    assert (langid.scores(data, offsets, model, tables, seen) == whole).all() and not seen.any()
+
+
 def test_blanks_beyond_the_fast_encoder_are_encoded():
     enc = packing.encoder(tokenizer_path())
     text = "a" + " " * 1_500_000 + "b"
