@@ -10,7 +10,9 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from riskweave.operators.components import components
 from riskweave.sources.scratch import written
 
 ATTRIBUTES = ("device_id", "ip_address", "phone", "email")
+#: Accounts of a block, pairs of a task, neighbours of a list's part.
+SIDE, TASK_PAIRS, PART = 128, 30_000, 100_000
 
 
 def transfer_edges(df: DataFrame, account: str = "account_id", other: str = "counterparty_account_id") -> DataFrame:
@@ -94,25 +98,131 @@ def component_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return whole.join(whole.groupBy("component").agg(F.count("*").cast("double").alias("graph_component_size")), "component").select("id", "component", "graph_component_size")
 
 
+def numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Written tables: ends (id, v) with a number for each account, and edges as (a, b, weight) of numbers."""
+    ends = written(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("v", F.monotonically_increasing_id()))
+    to = lambda name, v: ends.select(F.col("id").alias(name), F.col("v").alias(v))
+    return ends, written(edges.select("src", "dst", "weight").join(to("src", "a"), "src").join(to("dst", "b"), "dst").select("a", "b", "weight"))
+
+
+def _packed(rows: DataFrame, parts: int = 1) -> DataFrame:
+    """rows: id, n, w. One row per id and part of its n: both lists, n ascending."""
+    part = F.pmod(F.xxhash64("n"), F.lit(parts)).cast("int")
+    return rows.groupBy("id", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("l")).select("id", "part", F.col("l.n").alias("ns"), F.col("l.w").alias("ws"))
+
+
+def _intersected(pairs: DataFrame, lists: DataFrame, work, schema: str, nodes: int, parts: int = 1) -> DataFrame:
+    """work on the pairs (a, b, x) of each task and the lists of their two sides.
+
+    Pairs are dealt by blocks of both ends, so that a list goes to a task once for all pairs
+    there; a list's parts are met apart. No pair is multiplied by its neighbours in a shuffle.
+    """
+    blocks, many = max(1, -(-nodes // SIDE)), pairs.count()
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    task = F.pmod(F.xxhash64(block("a"), block("b"), "part"), F.lit(max(1, -(-many * parts // TASK_PAIRS)))).cast("int")
+    dealt = written(pairs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("task", task))
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("ns", "array<long>"), ("ws", "array<double>"))]
+    rows = dealt.select("task", "part", F.lit(2).alias("side"), "a", "b", "x", *none)
+    for side, end in enumerate("ab"):
+        own = dealt.select("task", "part", F.col(end).alias("id")).distinct().join(lists, ["id", "part"])
+        rows = rows.unionByName(own.select("task", "part", F.lit(side).alias("side"), F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("x"), "ns", "ws"))
+    return rows.groupBy("task").applyInArrow(lambda t: pa.concat_tables([work(*_sides(p)) for p in _by_part(t)]), schema)
+
+
+def _by_part(t: pa.Table):
+    part = t["part"].to_numpy()
+    for p in np.unique(part):
+        yield t.filter(pa.array(part == p)).combine_chunks()
+
+
+def _sides(t: pa.Table):
+    """Pairs in order of a, and for both sides: ascending ids, list bounds, flat numbers and weights."""
+    side = t["side"].to_numpy()
+    out = []
+    for k in (0, 1):
+        mine = t.filter(pa.array(side == k))
+        order = np.argsort(mine["a"].to_numpy(), kind="stable")
+        mine = mine.take(pa.array(order)).combine_chunks()
+        ns, ws = (mine[c].chunk(0) if len(mine) else pa.array([], pa.list_(kind)) for c, kind in (("ns", pa.int64()), ("ws", pa.float64())))
+        bounds = np.concatenate([[0], np.cumsum(np.asarray(ns.value_lengths(), np.int64))])
+        out.append((mine["a"].to_numpy(), bounds, ns.flatten().to_numpy(), ws.flatten().to_numpy()))
+    pairs = t.filter(pa.array(side == 2))
+    a, b, x = (pairs[c].to_numpy() for c in "abx")
+    order = np.argsort(a, kind="stable")
+    return a[order], b[order], x[order], *out
+
+
+def _met(a: np.ndarray, b: np.ndarray, left: tuple, right: tuple):
+    """For each a: its pairs with a list on both sides, then for all their right lists the flat places, left weights there, pair of each."""
+    kinds, number = np.unique(np.concatenate([left[2], right[2]]), return_inverse=True)
+    one, two = number[: len(left[2])], number[len(left[2]) :]
+    value = np.zeros(len(kinds))
+    cut = np.append(np.flatnonzero(np.diff(a, prepend=a[:1] - 1)), len(a)) if len(a) else np.zeros(1, np.int64)
+    for i, j in zip(cut[:-1], cut[1:], strict=True):
+        at = np.searchsorted(left[0], a[i])
+        if at == len(left[0]) or left[0][at] != a[i]:
+            continue
+        theirs = np.minimum(np.searchsorted(right[0], b[i:j]), max(len(right[0]) - 1, 0))
+        ok = right[0][theirs] == b[i:j] if len(right[0]) else np.zeros(j - i, bool)
+        theirs, rows = theirs[ok], np.arange(i, j)[ok]
+        if not len(rows):
+            continue
+        mine = slice(left[1][at], left[1][at + 1])
+        value[one[mine]] = left[3][mine]
+        size = right[1][theirs + 1] - right[1][theirs]
+        first = np.cumsum(size) - size
+        flat = np.arange(size.sum()) + np.repeat(right[1][theirs] - first, size)
+        yield rows, first, size, two[flat], value[two[flat]], right[3][flat], kinds
+        value[one[mine]] = 0.0
+
+
+def _triangles(a, b, x, left, right) -> pa.Table:
+    """Sums of x * left weight * right weight over common neighbours, for all three corners."""
+    ids, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+    third = kinds = None
+    for rows, first, size, where, one, two, kinds in _met(a, b, left, right):
+        third = np.zeros(len(kinds)) if third is None else third
+        each = one * two * np.repeat(x[rows], size)
+        got = np.add.reduceat(each, first)
+        ids += [a[rows], b[rows]]
+        sums += [got, got]
+        third += np.bincount(where, each, len(kinds))
+    if third is not None:
+        ids.append(kinds)
+        sums.append(third)
+    known, number = np.unique(np.concatenate(ids), return_inverse=True)
+    total = np.bincount(number, np.concatenate(sums), len(known)) if len(known) else np.zeros(0)
+    return pa.table({"v": pa.array(known, pa.int64()), "t": pa.array(total, pa.float64())})
+
+
+def _common(a, b, x, left, right) -> pa.Table:
+    """a, b and the number of common neighbours of each pair that has one."""
+    out = [(rows, np.add.reduceat((one > 0).astype(float), first)) for rows, first, _, _, one, _, _ in _met(a, b, left, right)]
+    rows = np.concatenate([r for r, _ in out]) if out else np.zeros(0, np.int64)
+    n = np.concatenate([n for _, n in out]) if out else np.zeros(0)
+    return pa.table({"a": pa.array(a[rows], pa.int64()), "b": pa.array(b[rows], pa.int64()), "n": pa.array(n, pa.float64())})
+
+
 def clustering(edges: DataFrame) -> DataFrame:
     """id, graph_clustering: weighted clustering of accounts with an edge.
 
-    Edges point from the smaller degree to the larger, which bounds the pairs that a hub opens.
+    Edges point from the smaller degree to the larger, so no account has more than the root of
+    twice the edges ahead of it. The cube root of a triangle's weights is the product of the
+    edges' own, so triangles are summed where an edge's two lists of accounts ahead meet.
     """
-    top = edges.agg(F.max("weight").alias("top"))
-    deg = degrees(edges).select("id", "graph_degree")
-    e = edges.crossJoin(F.broadcast(top)).select("src", "dst", (F.col("weight") / F.col("top")).alias("w"))
-    e = e.join(deg.select(F.col("id").alias("src"), F.col("graph_degree").alias("ds")), "src").join(deg.select(F.col("id").alias("dst"), F.col("graph_degree").alias("dd")), "dst")
-    one_end, other_end = (F.struct(F.col(d).alias("degree"), F.col(k).alias("id")) for d, k in (("ds", "src"), ("dd", "dst")))
-    e = e.select(F.least(one_end, other_end).alias("low"), F.greatest(one_end, other_end).alias("order_b"), "w")
-    e = written(e.select(F.col("low.id").alias("a"), F.col("order_b.id").alias("b"), "w", "order_b"))
-    one, two = e.select("a", "b", F.col("w").alias("w_ab"), F.col("order_b").alias("ob")), e.select("a", F.col("b").alias("c"), F.col("w").alias("w_ac"), F.col("order_b").alias("oc"))
-    wedge = one.join(two, "a").filter(F.col("ob") < F.col("oc")).drop("ob", "oc")
-    closing = e.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("w").alias("w_bc"))
-    tri = wedge.join(closing, ["b", "c"]).withColumn("t", F.cbrt(F.col("w_ab") * F.col("w_ac") * F.col("w_bc")))
-    per = tri.select(F.explode(F.array("a", "b", "c")).alias("id"), "t").groupBy("id").agg(F.sum("t").alias("t"))
+    edges = written(edges)
+    top = edges.agg(F.max("weight")).first()[0] or 1.0
+    ends, e = numbered(edges)
+    deg = written(e.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").cast("double").alias("graph_degree")))
+    of = lambda end: deg.select(F.col("v").alias(end), F.struct(F.col("graph_degree").alias("d"), F.col("v")).alias("o_" + end))
+    e = e.withColumn("x", F.cbrt(F.col("weight") / top)).join(of("a"), "a").join(of("b"), "b")
+    low = F.col("o_a") < F.col("o_b")
+    e = written(e.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("b"), "x"))
+    ahead = written(_packed(e.select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("x").alias("w"))))
+    per = _intersected(e, ahead, _triangles, "v long, t double", deg.count()).groupBy("v").agg(F.sum("t").alias("t"))
     pairs = F.col("graph_degree") * (F.col("graph_degree") - 1)
-    return deg.join(per, "id", "left").select("id", safe_div(2 * F.coalesce("t", F.lit(0.0)), pairs).alias("graph_clustering"))
+    whole = deg.join(per, "v", "left").select("v", safe_div(2 * F.coalesce("t", F.lit(0.0)), pairs).alias("graph_clustering"))
+    return ends.join(whole, "v").select("id", "graph_clustering")
 
 
 def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFrame:
@@ -275,14 +385,20 @@ def attach_features(df: DataFrame, features: DataFrame, account: str = "account_
 def link_features(df: DataFrame, edges: DataFrame, account: str = "account_id", other: str = "counterparty_account_id") -> DataFrame:
     """df with common_neighbors and jaccard_similarity of the row's two accounts; 0 if either is unknown.
 
-    Pairs meet through equi joins on the neighbour, so no neighbour list is held in a row.
+    Each pair meets the two lists of neighbours, in parts where a hub's list is long.
     """
-    e = both_ways(edges).select("src", "dst")
+    ends, e = numbered(edges)
+    twoway = e.select(F.col("a").alias("id"), F.col("b").alias("n")).unionAll(e.select(F.col("b").alias("id"), F.col("a").alias("n"))).withColumn("w", F.lit(1.0))
+    deg = written(twoway.groupBy("id").agg(F.count("*").cast("double").alias("d")))
+    most, nodes = deg.agg(F.coalesce(F.max("d"), F.lit(0.0)), F.count("*")).first()
+    parts = max(1, -(-int(most) // PART))
+    of = lambda name, v: ends.select(F.col("id").alias(name), F.col("v").alias(v))
     pairs = df.select(F.col(account).alias("__a"), F.col(other).alias("__b")).dropna().distinct()
-    met = pairs.join(e.select(F.col("src").alias("__a"), F.col("dst").alias("n")), "__a").join(e.select(F.col("src").alias("__b"), F.col("dst").alias("n")), ["__b", "n"])
-    common = met.groupBy("__a", "__b").agg(F.count("*").cast("double").alias("common_neighbors"))
-    deg = e.groupBy(F.col("src").alias("id")).agg(F.count("*").cast("double").alias("d"))
-    sized = common.join(deg.select(F.col("id").alias("__a"), F.col("d").alias("da")), "__a").join(deg.select(F.col("id").alias("__b"), F.col("d").alias("db")), "__b")
+    pairs = written(pairs.join(of("__a", "a"), "__a").join(of("__b", "b"), "__b"))
+    lists = written(_packed(twoway, parts))
+    met = _intersected(pairs.select("a", "b", F.lit(1.0).alias("x")), lists, _common, "a long, b long, n double", nodes, parts)
+    common = met.groupBy("a", "b").agg(F.sum("n").alias("common_neighbors")).filter("common_neighbors > 0")
+    sized = common.join(deg.select(F.col("id").alias("a"), F.col("d").alias("da")), "a").join(deg.select(F.col("id").alias("b"), F.col("d").alias("db")), "b").join(pairs, ["a", "b"])
     sized = sized.select("__a", "__b", "common_neighbors", safe_div(F.col("common_neighbors"), F.col("da") + F.col("db") - F.col("common_neighbors")).alias("jaccard_similarity"))
     out = df.join(sized, (F.col(account) == F.col("__a")) & (F.col(other) == F.col("__b")), "left").drop("__a", "__b")
     return out.fillna(0.0, ["common_neighbors", "jaccard_similarity"])
