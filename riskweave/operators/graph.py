@@ -1,8 +1,9 @@
 """The account graph: edges from transfers and shared attributes, and features of accounts.
 
 Edges are one table src < dst with weight, tx_count and shared_attrs. Every algorithm is
-joins and aggregations over it; steps of a loop are written tables. Louvain communities and
-betweenness run component by component, within a documented size of component.
+joins and aggregations over it; steps of a loop are written tables. Louvain communities of
+small components are a task each, those of large ones are joins; betweenness takes some start
+accounts of a component a task.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from riskweave.sources.scratch import written
 ATTRIBUTES = ("device_id", "ip_address", "phone", "email")
 #: Accounts of a block, pairs of a task, neighbours of a list's part.
 SIDE, TASK_PAIRS, PART = 128, 30_000, 100_000
+#: Edges of a component that one task takes for Louvain's moves; start accounts of a task for betweenness.
+TASK_EDGES, SOURCES = 200_000, 250
 
 
 def transfer_edges(df: DataFrame, account: str = "account_id", other: str = "counterparty_account_id") -> DataFrame:
@@ -288,18 +291,24 @@ def _links(pdf: pd.DataFrame) -> dict:
     return links
 
 
-def _in_components(edges: DataFrame, work, schema: str, largest: int) -> DataFrame:
-    """work on the edges of each component of at most `largest` nodes; a larger one is left out."""
+def _component_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges with their component, and each component's numbers of nodes and edges."""
     found = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    fit = found.groupBy("component").count().filter(F.col("count") <= largest).select("component")
-    mine = found.join(fit, "component").withColumnRenamed("id", "src")
-    return edges.select("src", "dst", "weight").join(mine, "src").groupBy("component").applyInPandas(work, schema)
+    inside = written(edges.select("src", "dst", "weight").join(found.withColumnRenamed("id", "src"), "src"))
+    size = found.groupBy("component").agg(F.count("*").alias("nodes")).join(inside.groupBy("component").agg(F.count("*").alias("edges")), "component")
+    return inside, written(size)
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, largest: int = 5000) -> DataFrame:
-    """id, community (its smallest member). Communities never span components; a component too large
-    for one task gets label propagation instead."""
-    weight = float(edges.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]) or 1.0
+def louvain(nodes: DataFrame, edges: DataFrame, largest: int = TASK_EDGES) -> DataFrame:
+    """id, community (its smallest member), by Louvain's local moves and merging.
+
+    Communities never span components. A component of at most `largest` edges is one task that
+    moves accounts one after another; in a larger one half of the accounts move at a time, by
+    joins, until the modularity of a level stops rising. Both are Louvain's method, but the
+    order of moves differs, and so may communities.
+    """
+    inside, size = _component_edges(edges)
+    weight = float(inside.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]) or 1.0
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         home = _louvain(_links(pdf), weight)
@@ -308,52 +317,116 @@ def louvain(nodes: DataFrame, edges: DataFrame, largest: int = 5000) -> DataFram
             least[c] = min(least.get(c, v), v)
         return pd.DataFrame({"id": list(home), "community": [least[c] for c in home.values()]})
 
-    found = written(_in_components(edges, work, "id string, community string", largest))
-    rest = nodes.join(found, "id", "left_anti")
-    wide = edges.join(rest.withColumnRenamed("id", "src"), "src", "left_semi")
-    return found.unionByName(label_propagation(rest, wide))
+    few = inside.join(size.filter(F.col("edges") <= largest).select("component"), "component", "left_semi")
+    found = few.groupBy("component").applyInPandas(work, "id string, community string")
+    many = written(inside.join(size.filter(F.col("edges") > largest).select("component"), "component", "left_semi"))
+    if not many.isEmpty():
+        found = found.unionByName(_louvain_by_joins(many.select("src", "dst", "weight"), weight))
+    found = written(found)
+    return nodes.join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, limit: int = 5000) -> DataFrame:
-    """id, graph_betweenness: shortest paths with the weight as distance; all zero beyond `limit` nodes."""
+def _louvain_by_joins(edges: DataFrame, weight: float) -> DataFrame:
+    """id, community: levels of local moves, half of the accounts at a time, each followed by merging."""
+    e = written(both_ways(edges).select("src", "dst", F.col("weight").alias("w")))  # a loop of a merged account holds both directions
+    home = written(e.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id")))
+    while True:
+        now = _moved(e, weight)
+        if now is None:
+            break
+        home = written(home.join(now.select(F.col("id").alias("community"), F.col("community").alias("to")), "community").select("id", F.col("to").alias("community")))
+        end = lambda c: now.select(F.col("id").alias(c), F.col("community").alias("to_" + c))  # noqa: B023, E731
+        e = written(e.join(end("src"), "src").join(end("dst"), "dst").groupBy(F.col("to_src").alias("src"), F.col("to_dst").alias("dst")).agg(F.sum("w").alias("w")))
+    least = home.groupBy("community").agg(F.min("id").alias("least"))
+    return home.join(least, "community").select("id", F.col("least").alias("community"))
+
+
+def _moved(e: DataFrame, weight: float, rise: float = 1e-6, patience: int = 4) -> DataFrame | None:
+    """One level: id, community of the highest modularity met, or None if no move raised it."""
+    degree = written(e.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")))
+    apart = e.filter("src <> dst")
+    now = degree.withColumn("community", F.col("id"))
+
+    def modularity(now: DataFrame) -> float:
+        to = now.select(F.col("id").alias("dst"), F.col("community").alias("c2"))
+        inner = e.join(now.select(F.col("id").alias("src"), "community"), "src").join(to, "dst").filter("community = c2").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+        total = now.groupBy("community").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0]
+        return inner / (2 * weight) - total / (4 * weight * weight)
+
+    start = top = modularity(now)
+    best, idle, turn = None, 0, 0
+    while idle < patience:
+        total = now.groupBy("community").agg(F.sum("k").alias("t"))
+        to = apart.join(now.select(F.col("id").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("id"), "community").agg(F.sum("w").alias("w"))
+        own = now.select("id", "k", F.col("community").alias("own"))
+        to = to.unionByName(now.select("id", "community", F.lit(0.0).alias("w"))).groupBy("id", "community").agg(F.sum("w").alias("w"))
+        tried = to.join(own, "id").join(total, "community").withColumn("rest", F.col("t") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0))
+        tried = tried.withColumn("gain", F.col("w") - F.col("k") * F.col("rest") / (2 * weight))
+        stay = F.max(F.when(F.col("community") == F.col("own"), F.col("gain")))
+        pick = tried.groupBy("id").agg(F.first("k").alias("k"), F.first("own").alias("own"), stay.alias("stay"), F.max("gain").alias("most"), F.max_by(F.col("community"), F.struct("gain", "community")).alias("to"))
+        goes = (F.col("most") > F.col("stay") + 1e-12) & (F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0)
+        now = written(pick.select("id", "k", F.when(goes, F.col("to")).otherwise(F.col("own")).alias("community")))
+        value = modularity(now)
+        best, idle = (now, 0 if value > top + rise else idle + 1) if value > top else (best, idle + 1)
+        top, turn = max(top, value), turn + 1
+    return best if top > start + rise else None
+
+
+def betweenness(nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
+    """id, graph_betweenness: the share of shortest paths through an account, the weight as distance.
+
+    Exact: a task takes SOURCES start accounts of one component with the component's edges, which
+    it must hold. With a limit all are 0 in a table of more accounts than that (the settings'
+    betweenness_limit).
+    """
     n = nodes.count()
     zero = nodes.withColumn("graph_betweenness", F.lit(0.0))
-    if n > limit or n < 3:
+    if n < 3 or (limit is not None and n > limit):
         return zero
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+    def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         links = _links(pdf)
-        score = dict.fromkeys(links, 0.0)
-        for s in links:
-            dist, ways, before, done, heap = {s: 0.0}, defaultdict(float, {s: 1.0}), defaultdict(list), [], [(0.0, s)]
-            seen = set()
-            while heap:
-                d, v = heapq.heappop(heap)
-                if v in seen:
-                    continue
-                seen.add(v)
-                done.append(v)
-                for u, w in links[v].items():
-                    if u in seen:
-                        continue
-                    if u not in dist or d + w < dist[u] - 1e-12:
-                        dist[u], ways[u], before[u] = d + w, ways[v], [v]
-                        heapq.heappush(heap, (d + w, u))
-                    elif abs(d + w - dist[u]) <= 1e-12:
-                        ways[u] += ways[v]
-                        before[u].append(v)
-            back = defaultdict(float)
-            for v in reversed(done):
-                for u in before[v]:
-                    back[u] += ways[u] / ways[v] * (1 + back[v])
-                if v != s:
-                    score[v] += back[v]
+        starts = [v for k, v in enumerate(sorted(links)) if k % pdf["chunks"].iloc[0] == key[1]]
+        score = _paths_through(links, starts)
         return pd.DataFrame({"id": list(score), "b": [x / ((n - 1) * (n - 2)) for x in score.values()]})
 
-    found = _in_components(edges, work, "id string, b double", limit)
+    inside, size = _component_edges(edges)
+    size = size.select("component", F.ceil(F.col("nodes") / SOURCES).cast("int").alias("chunks"))
+    dealt = inside.join(size, "component").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    found = dealt.groupBy("component", "chunk").applyInPandas(work, "id string, b double").groupBy("id").agg(F.sum("b").alias("b"))
     return nodes.join(found, "id", "left").select("id", F.coalesce("b", F.lit(0.0)).alias("graph_betweenness"))
 
 
+def _paths_through(links: dict, starts: list) -> dict:
+    """How many shortest paths from the starts pass each node, equal ones shared."""
+    score = dict.fromkeys(links, 0.0)
+    for s in starts:
+        dist, ways, before, done, heap = {s: 0.0}, defaultdict(float, {s: 1.0}), defaultdict(list), [], [(0.0, s)]
+        seen = set()
+        while heap:
+            d, v = heapq.heappop(heap)
+            if v in seen:
+                continue
+            seen.add(v)
+            done.append(v)
+            for u, w in links[v].items():
+                if u in seen:
+                    continue
+                if u not in dist or d + w < dist[u] - 1e-12:
+                    dist[u], ways[u], before[u] = d + w, ways[v], [v]
+                    heapq.heappush(heap, (d + w, u))
+                elif abs(d + w - dist[u]) <= 1e-12:
+                    ways[u] += ways[v]
+                    before[u].append(v)
+        back = defaultdict(float)
+        for v in reversed(done):
+            for u in before[v]:
+                back[u] += ways[u] / ways[v] * (1 + back[v])
+            if v != s:
+                score[v] += back[v]
+    return score
+
+
 def community_risk(members: DataFrame, df: DataFrame, account: str = "account_id", label: str = "label") -> DataFrame:
     """id, community and community_risk: the mean label of the community's accounts, 0 for one without a label."""
     fraud = df.groupBy(F.col(account).alias("id")).agg(F.max(label).alias("bad"))
@@ -361,13 +434,13 @@ def community_risk(members: DataFrame, df: DataFrame, account: str = "account_id
     return marked.join(marked.groupBy("community").agg(F.avg("bad").alias("community_risk")), "community").select("id", "community", "community_risk")
 
 
-def account_features(df: DataFrame, edges: DataFrame, members: DataFrame | None = None, steps: int = 100, tol: float | None = 1e-6) -> DataFrame:
+def account_features(df: DataFrame, edges: DataFrame, members: DataFrame | None = None, steps: int = 100, tol: float | None = 1e-6, betweenness_limit: int | None = None) -> DataFrame:
     """One row per account with all graph features."""
     edges = written(edges)
     nodes = written(vertices(df, edges))
     members = louvain(nodes, edges) if members is None else members
     out = nodes.join(degrees(edges), "id", "left").join(pagerank(nodes, edges, steps=steps, tol=tol), "id").join(clustering(edges), "id", "left")
-    out = out.join(component_sizes(nodes, edges), "id").join(betweenness(nodes, edges), "id").join(community_risk(members, df), "id", "left")
+    out = out.join(component_sizes(nodes, edges), "id").join(betweenness(nodes, edges, betweenness_limit), "id").join(community_risk(members, df), "id", "left")
     return out.fillna(0.0, ["graph_degree", "graph_weighted_degree", "graph_clustering", "community_risk"])
 
 

@@ -4,6 +4,7 @@ import json
 import math
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,3 +237,141 @@ def test_streams(spark, tmp_path):
     q = velocity_windows(spark.readStream.schema(TX).parquet(f"{tmp_path}/in")).writeStream.format("memory").queryName("velocity").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("velocity").agg(F.sum("n")).first()[0] == 40
+
+
+def test_quantiles_with_infinite_values(spark, monkeypatch):
+    from riskweave.functions import quantiles
+
+    monkeypatch.setattr(quantiles, "FETCH", 10)
+    inf = float("inf")
+    values = [float(k) for k in range(100)] + [inf] * 20 + [-inf] * 5 + [float("nan"), None] + [1e308, -1e308]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    kept = sorted(v for v in values if v is not None and v == v)
+    n = len(kept)
+    for q in (0.0, 0.02, 0.3, 0.5, 0.8, 0.99, 1.0):
+        (got,) = quantiles.exact_quantiles(df, "v", [q])
+        at = q * (n - 1)
+        lo, hi = kept[int(at)], kept[min(int(at) + 1, n - 1)]
+        assert got == lo if lo == hi or at == int(at) else abs(got - (lo + (hi - lo) * (at - int(at)))) < 1e-9 * max(1, abs(lo))
+    tight = spark.createDataFrame([(1.0 + k * 2.0**-52,) for k in range(3)] * 20, "v double")
+    assert quantiles.exact_quantiles(tight, "v", [0.5]) == [1.0 + 2.0**-52]
+
+
+def test_scratch_tables_need_a_shared_folder_off_local_masters():
+    from types import SimpleNamespace
+
+    from riskweave.sources import scratch
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://far:7077", applicationId="x"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch.scratch_root(far)
+
+
+def plain_graph(n, p, seed):
+    import random
+
+    rng = random.Random(seed)
+    return [(f"v{a:03d}", f"v{b:03d}", round(rng.uniform(0.1, 5), 3)) for a in range(n) for b in range(a + 1, n) if rng.random() < p]
+
+
+@pytest.mark.parametrize("side", [128, 3])
+def test_clustering_and_link_features_against_brute_force(spark, monkeypatch, side):
+    monkeypatch.setattr(graph, "SIDE", side)
+    monkeypatch.setattr(graph, "TASK_PAIRS", 20)
+    monkeypatch.setattr(graph, "PART", 4 if side == 3 else 100)
+    rows = plain_graph(24, 0.3, 1) + [("x", "y", 1.0)]
+    df = spark.createDataFrame(rows, "src string, dst string, weight double")
+    top, near = max(w for *_, w in rows), {}
+    for a, b, w in rows:
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = w / top
+    for r in graph.clustering(df).collect():
+        ns = sorted(near[r.id])
+        t = sum((near[r.id][u] * near[r.id][v] * near[u][v]) ** (1 / 3) for k, u in enumerate(ns) for v in ns[:k] if v in near[u])
+        assert abs(r.graph_clustering - (2 * t / (len(ns) * (len(ns) - 1)) if len(ns) > 1 else 0)) < 1e-9
+    ids = sorted(near) + ["unknown"]
+    pairs = spark.createDataFrame([(a, b) for a in ids for b in ids[::3]] + [(None, "x"), ("x", None)], "account_id string, counterparty_account_id string")
+    for r in graph.link_features(pairs, df).collect():
+        one, two = (set(near.get(v, ())) for v in (r.account_id, r.counterparty_account_id))
+        assert r.common_neighbors == len(one & two) and abs(r.jaccard_similarity - (len(one & two) / len(one | two) if one & two else 0)) < 1e-9
+
+
+def test_betweenness_counts_shortest_paths(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SOURCES", 3)
+    rows = plain_graph(12, 0.25, 5)
+    df = spark.createDataFrame(rows, "src string, dst string, weight double")
+    ids = sorted({v for a, b, _ in rows for v in (a, b)})
+    inf = float("inf")
+    dist = {(u, v): 0.0 if u == v else inf for u in ids for v in ids}
+    for a, b, w in rows:
+        dist[a, b] = dist[b, a] = w
+    for k in ids:
+        for u in ids:
+            for v in ids:
+                dist[u, v] = min(dist[u, v], dist[u, k] + dist[k, v])
+    n = len(ids)
+    for r in graph.betweenness(nodes(spark, df), df).collect():  # weights differ, so shortest paths are single
+        through = sum(dist[u, v] < inf and abs(dist[u, r.id] + dist[r.id, v] - dist[u, v]) < 1e-9 for u in ids for v in ids if len({u, v, r.id}) == 3)
+        assert abs(r.graph_betweenness - through / ((n - 1) * (n - 2))) < 1e-9
+    assert {r.graph_betweenness for r in graph.betweenness(nodes(spark, df), df, limit=5).collect()} == {0.0}
+
+
+def test_louvain_by_joins_finds_the_cliques(spark):
+    cliques = [[f"{c}{k}" for k in range(6)] for c in "abcd"]
+    rows = [(u, v, 1.0) for c in cliques for i, u in enumerate(c) for v in c[i + 1 :]] + [(cliques[i][0], cliques[(i + 1) % 4][1], 0.1) for i in range(4)]
+    df = spark.createDataFrame([(min(a, b), max(a, b), w) for a, b, w in rows], "src string, dst string, weight double")
+    for largest in (10**6, 0):
+        assert {r.id: r.community for r in graph.louvain(nodes(spark, df), df, largest).collect()} == {v: c[0] for c in cliques for v in c}
+
+
+def test_early_stopping_and_settings(spark, tmp_path):
+    rows = [(float(k % 7), float(k % 3), "c", int(k % 7 > 3)) for k in range(300)]
+    df = spark.createDataFrame(rows, "x double, y double, c string, label int")
+    whole = models.Supervised.fit(df, ["x", "y"], ["c"], trees=12, depth=3)
+    noise = df.withColumn("label", (F.rand(3) < 0.5).cast("int"))
+    stopped = models.Supervised.fit(df, ["x", "y"], ["c"], trees=12, depth=3, validation=noise)
+    assert stopped.model.stages[-1].getNumTrees < whole.model.stages[-1].getNumTrees == 12
+    linear = models.Supervised.fit(df, ["x", "y"], ["c"], trees=20, algorithm="svc")
+    marks = linear.transform(df).groupBy("label").agg(F.avg("s_supervised").alias("m"), F.min("s_supervised").alias("lo"), F.max("s_supervised").alias("hi")).orderBy("label").collect()
+    assert marks[0].m < marks[1].m and 0 <= marks[0].lo and marks[1].hi <= 1 and linear.explain(df, 1).first().top_features[0].feature == "x"
+    (tmp_path / "c.json").write_text(json.dumps({"supervised": {"params": {"n_estimators": 7, "max_depth": 2, "learning_rate": 0.2}, "early_stopping_rounds": 0}, "anomaly": {"isolation_forest": {"n_estimators": 9}, "autoencoder": {"hidden_dims": [8, 4], "latent_dim": 2}}, "monitoring": {"drift_ks_pvalue_trigger": 0.2, "loss_increase_trigger_pct": 5}}))
+    c = load_config(tmp_path / "c.json")
+    assert c.boosting() == {"step": 0.2, "trees": 7, "depth": 2, "stopping": False} and c.isolation() == {"trees": 9}
+    assert c.autoencoder() == {"latent": 2, "hidden": (8, 4)} and c.triggers() == {"p_value": 0.2, "loss_pct": 5}
+
+
+def test_anomaly_models_read_all_rows_whatever_the_partitions(spark):
+    df = spark.range(3000).select(F.sin("id").alias("x"), F.cos("id").alias("y"), (F.sin("id") * 2).alias("z"))
+    one, two = (models.IsolationForest.fit(d, ["x", "y", "z"], trees=60, size=64) for d in (df.repartition(1), df.repartition(7)))
+    assert np.allclose(one.mean, two.mean) and np.allclose(one.score(df.toPandas().to_numpy()), two.score(df.toPandas().to_numpy()), atol=1e-6)
+    odd = np.array([[9.0, -9.0, 9.0], [0.1, 0.99, 0.2]])
+    assert one.score(odd)[0] > one.score(odd)[1] and two.score(odd)[0] > two.score(odd)[1]
+    coder = models.Autoencoder.fit(df, ["x", "y", "z"], latent=2, hidden=(16, 8, 2, 8, 16), epochs=15, batch=64, rate=5e-3)
+    assert coder.score(odd)[0] > 5 * coder.score(odd)[1]
+    assert models.Autoencoder.fit(df.limit(0), ["x", "y"], epochs=2).score(np.zeros((1, 2))).shape == (1,)
+
+
+def test_the_drift_distance_is_exact(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(0, 1, 500), np.concatenate([rng.normal(0.3, 1, 300), [5.0, 5.0, -7.0]])
+    every = np.sort(np.concatenate([a, b]))
+    want = np.abs(np.searchsorted(np.sort(a), every, "right") / len(a) - np.searchsorted(np.sort(b), every, "right") / len(b)).max()
+    frame = lambda x: spark.createDataFrame([(float(v),) for v in x] + [(None,)], "final_score double")
+    got, n, m = risk.ks_distance(frame(a), frame(b))
+    assert abs(got - want) < 1e-12 and (n, m) == (500, 303) and risk.ks_distance(frame([]), frame(b))[0] == 0.0
+
+
+def test_commands_write_reports_and_the_dashboard_shows_them(spark, tmp_path):
+    from riskweave.plans import commands
+
+    (tmp_path / "c.json").write_text(json.dumps({"supervised": {"params": {"n_estimators": 3, "max_depth": 3}}, "anomaly": {"isolation_forest": {"n_estimators": 10}, "autoencoder": {"epochs": 1}}}))
+    run = f"{tmp_path}/run"
+    commands.main(["generate", "--output", f"{tmp_path}/tx.parquet", "--rows", "2000", "--fraud-rate", "0.05"], spark)
+    ends = ["--input", f"{tmp_path}/tx.parquet", "--config", f"{tmp_path}/c.json", "--train-end", "2025-06-15", "--validation-end", "2025-07-15"]
+    report = commands.main(["train", *ends, "--output", run], spark)
+    assert report["test"]["n_samples"] > 100 and set(report) == {"thresholds", "validation", "test"}
+    told = commands.main(["simulate", *ends, "--engine", f"{run}/engine", "--output", f"{run}/simulation_results.json"], spark)
+    assert told["baseline"] == report["test"] and {"concept_drift", "mimicry_attack", "transaction_splitting", "incentive_ab_test"} <= set(told)
+    shown = commands.main(["dashboard", "--folder", run], spark)
+    assert shown["metrics"]["test"]["n_samples"] == report["test"]["n_samples"] and len(shown["preview"]) == 15 and sum(shown["bands"].values()) == report["test"]["n_samples"]
+    assert "metrics.json" in {a["name"] for a in shown["artifacts"]}
+    assert commands.dashboard(spark, f"{tmp_path}/none")["preview"] == []
