@@ -48,7 +48,7 @@ def simulations(engine: Engine, test: DataFrame, history: DataFrame) -> dict[str
     attacks = {"baseline": lambda d: d, "concept_drift": simulate.concept_drift, "mimicry_attack": simulate.mimicry, "transaction_splitting": simulate.splitting}
     report: dict[str, Any] = {name: engine.evaluate(attack(test), history).first().asDict() for name, attack in attacks.items()}
     scored = engine.predict(test, history)
-    report["incentive_ab_test"] = [r.asDict() for r in simulate.ab_test(scored).collect()]  # a row per arm
+    report["incentive_ab_test"] = simulate.ab_test(scored).first().asDict()
     return report
 
 

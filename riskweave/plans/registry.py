@@ -304,14 +304,17 @@ def pagerank_steps(spark, sf):
     return graph.pagerank(graph.vertices(events(spark, sf), edges), edges, steps=_STEPS, tol=None).select("id", F.round("graph_pagerank", 8).alias("graph_pagerank"))
 
 
-_NATION_GRAPH = "e AS (SELECT DISTINCT 'S' || s_suppkey AS src, 'T' || (s_suppkey % 37 * 3 + s_nationkey % 2) AS dst, 1.0 AS weight FROM supplier)"
+_NATION_GRAPH = """e AS (SELECT DISTINCT 'S' || s_suppkey AS src, 'T' || (s_suppkey % 37 * 3 + s_nationkey % 2) AS dst, 1.0 AS weight FROM supplier
+    UNION SELECT 'S' || s_suppkey, 'N' || s_nationkey, 1.0 FROM supplier WHERE s_nationkey % 5 <> 0)"""
 
 
 def _sparse_edges(spark, sf):
-    """Suppliers tied to groups: a graph of several components."""
+    """Suppliers tied to groups and to most nations: a graph with cycles and, where tables are small, several components."""
     s = spark.read.parquet(f"{sf}/supplier.parquet")
+    own = F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("src")
     to = (F.col("s_suppkey") % 37 * 3 + F.col("s_nationkey") % 2).cast("string")
-    return s.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("src"), F.concat(F.lit("T"), to).alias("dst"), F.lit(1.0).alias("weight")).distinct()
+    groups = s.select(own, F.concat(F.lit("T"), to).alias("dst"), F.lit(1.0).alias("weight"))
+    return groups.unionAll(s.filter("s_nationkey % 5 <> 0").select(own, F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("dst"), F.lit(1.0).alias("weight"))).distinct()
 
 
 @query(f"""
@@ -370,16 +373,48 @@ def louvain_communities(spark, sf):
     return graph.louvain(graph.vertices(events(spark, sf), edges), edges)
 
 
-@query()
+_ROUNDS = 5
+
+
+def _propagation_sql() -> str:
+    steps = "l0 AS MATERIALIZED (SELECT id, id AS community FROM v)"
+    for k in range(_ROUNDS):
+        steps += f""",
+        n{k} AS (SELECT e2.src AS id, l.community, count(*) AS n FROM e2 JOIN l{k} l ON l.id = e2.dst GROUP BY 1, 2),
+        t{k} AS (SELECT id, community FROM (SELECT *, max(n) OVER (PARTITION BY id) AS most FROM n{k}) WHERE n = most),
+        l{k + 1} AS MATERIALIZED (SELECT l.id, CASE WHEN l.community IN (SELECT community FROM t{k} t WHERE t.id = l.id) THEN l.community ELSE coalesce((SELECT min(community) FROM t{k} t WHERE t.id = l.id), l.community) END AS community FROM l{k} l)"""
+    return f"WITH {_GRAPH}, {steps} SELECT id, community FROM l{_ROUNDS}"
+
+
+@query(_propagation_sql())
 def label_propagation(spark, sf):
     edges = written(_edges(spark, sf))
-    return graph.label_propagation(graph.vertices(events(spark, sf), edges), edges, rounds=5)
+    return graph.label_propagation(graph.vertices(events(spark, sf), edges), edges, rounds=_ROUNDS)
 
 
-@query()
+_REACH = 28
+
+
+def _betweenness_sql() -> str:
+    """Shortest paths of equal edges, counted level by level; the graph's longest one has fewer edges than _REACH."""
+    steps = "p0 AS MATERIALIZED (SELECT id AS s, id AS t, 1.0::DOUBLE AS ways, 0 AS d FROM n), r0 AS (SELECT * FROM p0)"
+    for k in range(1, _REACH):
+        steps += f""",
+        p{k} AS MATERIALIZED (SELECT p.s, x.dst AS t, sum(ways) AS ways, {k} AS d FROM p{k - 1} p JOIN x ON x.src = p.t WHERE NOT EXISTS (SELECT 1 FROM r{k - 1} r WHERE r.s = p.s AND r.t = x.dst) GROUP BY 1, 2),
+        r{k} AS MATERIALIZED (SELECT * FROM r{k - 1} UNION ALL SELECT * FROM p{k})"""
+    return f"""
+    WITH {_NATION_GRAPH}, x AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), n AS (SELECT DISTINCT src AS id FROM x), {steps},
+    r AS MATERIALIZED (SELECT * FROM r{_REACH - 1}), c AS (SELECT count(*)::DOUBLE AS n FROM n),
+    b AS (SELECT one.t AS id, sum(one.ways * two.ways / whole.ways) AS b FROM r one JOIN r two ON two.s = one.t JOIN r whole ON whole.s = one.s AND whole.t = two.t
+          WHERE one.d > 0 AND two.d > 0 AND one.d + two.d = whole.d GROUP BY 1)
+    SELECT id, round(coalesce(b, 0) / ((c.n - 1) * (c.n - 2)), 9) AS graph_betweenness FROM n LEFT JOIN b USING (id), c"""
+
+
+@query(_betweenness_sql())
 def betweenness(spark, sf):
     edges = written(_sparse_edges(spark, sf))
-    return graph.betweenness(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), edges)
+    found = graph.betweenness(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), edges)
+    return found.select("id", rounded(F.col("graph_betweenness"), "graph_betweenness"))
 
 
 # Fusion, evaluation
@@ -494,16 +529,27 @@ def mimicry(spark, sf):
     return df.groupBy("label").agg(F.count("*").alias("n"), F.avg("amount").alias("mean_amount"), F.min("amount").alias("least"), F.countDistinct("hour").alias("hours"))
 
 
-@query()
+@query(f"""
+    WITH {_BANDED}, m AS (SELECT label = 1 AS fraud, substr(md5(transaction_id || ':42'), 1, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') AS treated FROM b WHERE risk_band = 'medium'),
+    n AS (SELECT count(*) FILTER (NOT treated) AS nc, count(*) FILTER (treated) AS nt, count(*) FILTER (NOT treated AND fraud) AS bc, count(*) FILTER (treated AND fraud) AS bt FROM m),
+    r AS (SELECT coalesce(bc / nullif(nc, 0), 0) AS c, coalesce((bt - floor(bt * 0.25)) / nullif(nt, 0), 0) AS t, coalesce(floor(nt * 0.03) / nullif(nt, 0), 0) AS o FROM n)
+    SELECT round(c, 9)::DOUBLE AS control_fraud_rate, round(t, 9)::DOUBLE AS treatment_fraud_rate, 0.0::DOUBLE AS control_dropout, round(o, 9)::DOUBLE AS treatment_dropout,
+           round(t - c, 9)::DOUBLE AS effect_fraud_rate, round(o, 9)::DOUBLE AS effect_dropout FROM r""")
 def ab_test(spark, sf):
-    return simulate.ab_test(_banded(spark, sf))
+    out = simulate.ab_test(_banded(spark, sf))
+    return out.select(*[rounded(F.col(c).cast("double"), c) for c in out.columns])
 
 
-@query()
+@query(f"""
+    WITH {_BANDED}, s AS (SELECT final_score AS v, 1 AS b, 0 AS a FROM b UNION ALL SELECT final_score * 1.2, 0, 1 FROM b),
+    w AS (SELECT v, sum(sum(b)) OVER o / sum(sum(b)) OVER () - sum(sum(a)) OVER o / sum(sum(a)) OVER () AS gap FROM s GROUP BY v WINDOW o AS (ORDER BY v)),
+    k AS (SELECT max(abs(gap)) AS ks, max(abs(gap)) * sqrt((SELECT count(*) FROM b) / 2.0) AS root FROM w),
+    p AS (SELECT ks, CASE WHEN root > 0.2 THEN least(1, greatest(0, (SELECT 2 * sum((CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * i * i * root * root)) FROM range(1, 101) t(i)))) ELSE 1 END AS p FROM k)
+    SELECT round(ks, 9)::DOUBLE AS ks_distance, round(p, 9)::DOUBLE AS p_value, p < 0.01 AS drifted FROM p""")
 def drift_monitor(spark, sf):
-    before = _banded(spark, sf)
+    before = written(_banded(spark, sf))
     alarm = risk.drift_alarm(before, before.withColumn("final_score", F.col("final_score") * 1.2))
-    return spark.createDataFrame([(float(alarm["ks_distance"]), float(alarm["p_value"]), bool(alarm["drifted"]))], "ks_distance double, p_value double, drifted boolean")
+    return spark.createDataFrame([(round(alarm["ks_distance"], 9), round(alarm["p_value"], 9), bool(alarm["drifted"]))], "ks_distance double, p_value double, drifted boolean")
 
 
 # Payload
@@ -530,11 +576,23 @@ def top_features(spark, sf):
     return events(spark, sf).select("transaction_id", top[0]["feature"].alias("first"), top[1]["feature"].alias("second"))
 
 
-@query()
+@query(f"""
+    WITH {_GRAPH}, {_BANDED.removeprefix(EVENTS_SQL).lstrip().lstrip(',')}, t AS (SELECT * FROM b WHERE timestamp > TIMESTAMP '{VALIDATION_END}'),
+    near AS (SELECT src AS id, dst AS account_id, weight, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rank FROM e2),
+    listed AS (SELECT id, least(count(*), 10) AS neighbors, max(CASE WHEN rank = 1 THEN account_id END) AS first, sum(weight) FILTER (rank <= 10) AS whole FROM near GROUP BY 1),
+    past AS (SELECT t.transaction_id, count(h.transaction_id) AS lifetime, count(*) FILTER (h.label = 1) AS frauds, coalesce(max(h.amount) FILTER (h.timestamp >= t.timestamp - INTERVAL 30 DAY), 0) AS most
+             FROM t LEFT JOIN tx h ON h.account_id = t.account_id AND h.timestamp <= t.timestamp GROUP BY 1)
+    SELECT t.transaction_id, risk_band, coalesce(neighbors, 0)::INTEGER AS neighbors, coalesce(first, '') AS first_neighbor, round(coalesce(whole, 0), 4)::DOUBLE AS neighbor_weight, lifetime::INTEGER AS lifetime_tx_count, frauds::INTEGER AS lifetime_fraud_count, most AS max_amount_30d
+    FROM t LEFT JOIN listed ON listed.id = t.account_id JOIN past USING (transaction_id) WHERE risk_band = 'medium'""")
 def analyst_payload(spark, sf):
     test = temporal_split(_banded(spark, sf), TRAIN_END, VALIDATION_END).test
-    out = payload.analyst_payload(test, events(spark, sf), _edges(spark, sf))
-    return payload.score_response(test, out).select("transaction_id", "risk_band", F.to_json("analyst_payload").alias("analyst_payload"))
+    out = payload.score_response(test, payload.analyst_payload(test, events(spark, sf), _edges(spark, sf)))
+    near, past = F.col("analyst_payload.graph_neighbors"), F.col("analyst_payload.recent_history")
+    whole = F.round(F.aggregate(near, F.lit(0.0), lambda x, n: x + n["weight"]), 4)
+    size = F.when(near.isNotNull(), F.size(near)).otherwise(0).cast("int")
+    first = F.coalesce(F.get(near, F.lit(0))["account_id"], F.lit(""))
+    out = out.filter(F.col("analyst_payload").isNotNull())
+    return out.select("transaction_id", "risk_band", size.alias("neighbors"), first.alias("first_neighbor"), F.coalesce(whole, F.lit(0.0)).alias("neighbor_weight"), past["lifetime_tx_count"].alias("lifetime_tx_count"), past["lifetime_fraud_count"].alias("lifetime_fraud_count"), past["max_amount_30d"].alias("max_amount_30d"))
 
 
 # Models
