@@ -47,7 +47,7 @@ _rng = np.random.default_rng(11)
 _FLIP = _rng.integers(0, 1 << 63, MOST, np.uint64)
 _MULT = _rng.integers(0, 1 << 62, MOST, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Classes of a block of outsiders and of a clump, and bytes of sets of a block and of a task of many blocks.
-OUTSIDE, INSIDE, BLOCK_BYTES, TASK_BYTES = 256, 512, 4 << 20, 8 << 20
+OUTSIDE, INSIDE, BLOCK_BYTES, TASK_BYTES = 256, 512, 2 << 20, 1 << 20
 NAME = ["n_shingles", "f1", "f2"]
 
 
@@ -152,8 +152,8 @@ def _confirm(batches, percent: int):
 def _sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
     """id, shingles: the sets of the classes named by ids (one column, id), from a document of each."""
     of = classes.join(ids, F.col("cls") == F.col("id")).select("id", F.col("least.doc_id").alias("doc_id"), F.col("least.t").alias("t"))
-    texts = docs.join(of, ["doc_id", "t"]).select("id", "text").dropDuplicates(["id"])
-    return written(texts.mapInArrow(_sets, "id long, shingles binary"))
+    texts = docs.join(of, ["doc_id", "t"]).dropDuplicates(["doc_id", "t"])  # dealt as the join is
+    return written(texts.select("id", "text").mapInArrow(_sets, "id long, shingles binary"))
 
 
 def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
