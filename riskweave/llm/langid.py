@@ -16,6 +16,7 @@ language first in order. Rows are judged alone, so repeated rows repeat.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import CHUNK_BYTES, chunks, extended, text_buffer
+from riskweave.llm.common import CHUNK_BYTES, chunks, text_buffer
 
 #: Bounds of the fit: rows sampled, characters of a sampled text, landmarks a language.
 TRAIN_ROWS, TRAIN_CHARS, LANDMARKS = 1200, 8_000, 24
@@ -117,25 +118,30 @@ def scores(data: np.ndarray, offsets: np.ndarray, model: Model, tables: list[np.
     return p @ model.weights[:-1] / np.sqrt(np.maximum(p.sum(1, keepdims=True), 1)) + model.weights[-1]
 
 
-def _predict(batches, shared):
-    """mapInArrow: columns has_letter and text first; adds lang_pred and score, takes the two away."""
-    model = shared.value
-    if _ready[0] is not model:
-        _ready[:] = model, _tables(model.grams), np.zeros(BATCH_DOCS * (len(model.grams) + 1), np.uint8)
-    _, tables, seen = _ready
-    names = np.array([*model.langs, "und"], object)
-    for batch in batches:
-        letter = np.asarray(batch.column(0).fill_null(False).to_pylist(), bool)
-        data, offsets = text_buffer(batch.column(1))
-        best, score = np.full(len(letter), len(model.langs)), np.zeros(len(letter))
-        for a, b in chunks(offsets):
-            for i in range(a, b, BATCH_DOCS):
-                j = min(b, i + BATCH_DOCS)
-                s = scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], model, tables, seen)
-                best[i:j] = s.argmax(1)
-                score[i:j] = np.clip((s.max(1).astype(float) + 1) / 2, 0, 1)
-        best[~letter], score[~letter] = len(model.langs), 0.0
-        yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(names[best].tolist(), pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[2:], "lang_pred", "score"])
+def _predicted(shared):
+    """An Arrow function of (has_letter, text) to lang_pred and score; only these travel, whatever columns the table has."""
+
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def predicted(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        model = shared.value
+        if _ready[0] is not model:
+            _ready[:] = model, _tables(model.grams), np.zeros(BATCH_DOCS * (len(model.grams) + 1), np.uint8)
+        _, tables, seen = _ready
+        names = np.array([*model.langs, "und"], object)
+        for has, text in batches:
+            letter = np.asarray(has.fill_null(False).to_pylist(), bool)
+            data, offsets = text_buffer(text)
+            best, score = np.full(len(letter), len(model.langs)), np.zeros(len(letter))
+            for a, b in chunks(offsets):
+                for i in range(a, b, BATCH_DOCS):
+                    j = min(b, i + BATCH_DOCS)
+                    s = scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], model, tables, seen)
+                    best[i:j] = s.argmax(1)
+                    score[i:j] = np.clip((s.max(1).astype(float) + 1) / 2, 0, 1)
+            best[~letter], score[~letter] = len(model.langs), 0.0
+            yield pa.StructArray.from_arrays([pa.array(names[best].tolist(), pa.string()), pa.array(score, pa.float64())], names=["lang_pred", "score"])
+
+    return predicted.asNondeterministic()  # so that a filter on the prediction doesn't run it again
 
 
 def has_letter(text: str = "text") -> Column:
@@ -168,10 +174,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     if not model.langs:
         return docs.select(*kept, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared = spark.sparkContext.broadcast(model)
-    fed = docs.select(has_letter().alias("__letter"), F.col("text").alias("__text"), *kept)
-    schema = extended(docs.select(*kept), lang_pred="string", score="double")
-    return fed.mapInArrow(lambda it: _predict(it, shared), schema)
+    own = "__predicted"
+    while own in kept:
+        own += "_"
+    predicted = _predicted(spark.sparkContext.broadcast(model))(has_letter(), F.col("text").cast("string"))
+    return docs.select(*kept, predicted.alias(own)).select(*kept, f"{own}.lang_pred", f"{own}.score")
 
 
 def held_out() -> Column:

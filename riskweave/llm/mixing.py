@@ -18,6 +18,7 @@ TRAIN_CHARS characters. Repeated rows each count.
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -97,17 +98,39 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     return fit(x, np.array([DOMAINS.index(d) for _, _, d in rows]), DOMAINS)
 
 
-def _posteriors(batches, shared):
-    """mapInArrow: text first; adds tokens and posteriors in its place."""
-    for batch in batches:
-        data, offsets = text_buffer(batch.column(0))
-        n, p = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, len(shared.value.domains)))
-        for a, b in chunks(offsets):
-            for i in range(a, b, BATCH):
-                j = min(b, i + BATCH)
-                x, n[i:j] = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                p[i:j] = shared.value.posteriors(x)
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n), pa.array(list(np.round(p, 9)), pa.list_(pa.float64()))], names=[*batch.schema.names[1:], "n_tokens", "posterior"])
+def _told(text: pa.Array, model: Classifier) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and posteriors of each text."""
+    data, offsets = text_buffer(text)
+    n, p = np.zeros(len(text), np.int64), np.zeros((len(text), len(model.domains)))
+    for a, b in chunks(offsets):
+        for i in range(a, b, BATCH):
+            j = min(b, i + BATCH)
+            x, n[i:j] = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            p[i:j] = model.posteriors(x)
+    return n, np.round(p, 9)
+
+
+def _member(shared):
+    """An Arrow function of text to n_tokens and posterior; other columns don't travel."""
+
+    @F.arrow_udf("struct<n_tokens:bigint,posterior:array<double>>")
+    def member(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in batches:
+            n, p = _told(text, shared.value)
+            yield pa.StructArray.from_arrays([pa.array(n), pa.array(list(p), pa.list_(pa.float64()))], names=["n_tokens", "posterior"])
+
+    return member.asNondeterministic()
+
+
+def _rate(shared, steps, rate_of):
+    """An Arrow function of text to its rate."""
+
+    @F.arrow_udf("double")
+    def rate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in batches:
+            yield pa.array(np.round(rates(_told(text, shared.value)[1], steps, rate_of)[0], 6))
+
+    return rate.asNondeterministic()
 
 
 def _momentum(step: int) -> float:
@@ -184,31 +207,22 @@ def mixed(docs: DataFrame, labels: DataFrame, shares: dict[str, float] = SHARES,
     model = train(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("text", "n_tokens", "posterior", "rate")]
-    schema = extended(docs.select(*kept), n_tokens="long", posterior="array<double>")
-    members = written(docs.select(F.col("text").alias("__text"), *kept).mapInArrow(lambda it: _posteriors(it, shared), schema))
+    told = docs.select(*kept, _member(shared)(F.col("text").cast("string")).alias("__told"))
+    members = written(told.select(*kept, "__told.n_tokens", "__told.posterior"))
     steps, rate_of, _ = fit_rates(members, model.domains, shares, total)
     at = members.columns.index("posterior")
     return members.mapInArrow(lambda it: _rated(it, steps, rate_of, at), extended(members, rate="double"))
 
 
-def _rated_texts(batches, shared, steps, rate_of):
-    """mapInArrow: text first; each row without it, with its rate."""
-    for batch in _posteriors(batches, shared):
-        p = np.asarray(batch.column("posterior").flatten(), float).reshape(batch.num_rows, -1)
-        rate = pa.array(np.round(rates(p, steps, rate_of)[0], 6))
-        yield batch.drop_columns(["n_tokens", "posterior"]).append_column("rate", rate)
-
-
 def resampled(docs: DataFrame, labels: DataFrame, shares: dict[str, float] = SHARES, total: float | None = None) -> DataFrame:
     """docs, each row as often as its rate says: the whole part, and once more if a hash of the row falls under the rest."""
     model = train(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fed = docs.select(F.col("text").alias("__text"))
-    members = written(fed.mapInArrow(lambda it: _posteriors(it, shared), "n_tokens long, posterior array<double>"))
+    told = docs.select(_member(shared)(F.col("text").cast("string")).alias("told"))
+    members = written(told.select("told.n_tokens", "told.posterior"))
     steps, rate_of, _ = fit_rates(members, model.domains, shares, total)
     # names of our own can't clash with the rate's
-    rated = docs.select(F.col("text").alias("__text"), *[F.col(c).alias(f"__{c}_") for c in docs.columns])
-    rated = rated.mapInArrow(lambda it: _rated_texts(it, shared, steps, rate_of), extended(rated.drop("__text"), rate="double"))
+    rated = docs.select(*[F.col(c).alias(f"__{c}_") for c in docs.columns]).withColumn("rate", _rate(shared, steps, rate_of)(F.col("__text_").cast("string")))
     luck = F.pmod(F.xxhash64("__doc_id_", "__text_", F.lit("mix")), F.lit(1 << 40)) / float(1 << 40)
     copies = F.floor(F.col("rate") + luck).cast("int")
     drawn = rated.withColumn("__copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))))

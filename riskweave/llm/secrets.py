@@ -17,9 +17,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from riskweave.llm.common import by_id
 
@@ -154,13 +156,11 @@ def masked(text: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def _masks(batches, column: int):
-    for batch in batches:
-        texts = [None if t is None else masked(t) for t in batch.column(column).to_pylist()]
-        yield batch.set_column(column, batch.schema.field(column), pa.array(texts, batch.schema.field(column).type))
+def _masked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        yield pa.array([masked(t.as_py()) if t.is_valid else None for t in texts], pa.string())
 
 
 def mask_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every secret in the text column masked; all columns stay, nulls included."""
-    k = docs.columns.index(text)
-    return docs.mapInArrow(lambda it: _masks(it, k), docs.schema)
+    return docs.withColumn(text, F.arrow_udf(_masked, "string").asNondeterministic()(F.col(text).cast("string")).cast(docs.schema[text].dataType))
