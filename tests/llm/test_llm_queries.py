@@ -503,3 +503,19 @@ def test_entropy_finds_planted_secrets_and_leaves_ordinary_runs(spark):
     assert min(found.values()) >= 0.95 and len(wrong) <= 0.02 * len(ordinary)
     whole = [k for k in range(600) if (s := sorted(tuple(map(int, p.split(":")[1:])) for p in got[k].split(",") if p)) and sum(b - a for a, b in s) >= 0.9 * len(rows[k])]
     assert len(whole) >= 0.9 * 600
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    import corpus_pipeline as pipeline
+
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], 0, "x", "y"), (2, [1.0, 0.01], 0, "x", "y")], "vec_id long, embedding array<double>, label int, n_links string, component_id string")
+    assert {(r.vec_id, r.n_links, r.component_id) for r in forest.near_duplicates(vectors).collect()} == {(1, 1, 1), (2, 1, 1)}
+    assert forest.near_duplicates(vectors.limit(0)).count() == 0
+    named = docs_of(spark, ["the cat and the house"] * 3).drop("component_id", "kept").withColumns({c: F.lit("x") for c in ("lang_pred", "score", "rate", "posterior", "n_tokens", "spans", "piece", "length", "shard", "__predicted")})
+    model = langid.train(spark.createDataFrame([(1, "the cat", "en"), (2, "der Hund", "de")], "doc_id long, text string, lang string"), F.lit(True))
+    assert langid.predict(named.limit(0), model).count() == 0 and {r.lang_pred for r in langid.predict(named, model).collect()} == {"en"}
+    assert secrets.secret_spans(named).count() == packing.pack(named, queries.tokenizer_path()).count() == 3
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
+    for _, stage in pipeline.STAGES:
+        docs = stage(spark, docs, "/root/testdata/sf0.001")
+        assert docs.count() == 0
