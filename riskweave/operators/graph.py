@@ -25,7 +25,7 @@ ATTRIBUTES = ("device_id", "ip_address", "phone", "email")
 #: Accounts of a block, pairs of a task, neighbours of a list's part.
 SIDE, TASK_PAIRS, PART = 128, 30_000, 100_000
 #: Edges of a component that one task takes for Louvain's moves; start accounts of a task for betweenness.
-TASK_EDGES, SOURCES = 200_000, 250
+TASK_EDGES, SOURCES = 2_000_000, 250
 
 
 def transfer_edges(df: DataFrame, account: str = "account_id", other: str = "counterparty_account_id") -> DataFrame:
