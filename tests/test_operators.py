@@ -51,6 +51,45 @@ def test_only_required_columns(spark):
     assert (got.device_score, got.merchant_category, got.channel, got.avg_balance, got.account_age_days) == (1.0, "unknown", "unknown", 5.0, 0.0)
 
 
+def _uneven_rows(n=400):
+    """Accounts with gaps of months, ties, late or missing balances, missing accounts and times."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(n):
+        when = T0 + timedelta(days=int(rng.choice([0, 1, 29, 30, 31, 200, 201, 290])), hours=int(rng.integers(0, 40)))
+        account = str(rng.choice(["A", "A", "A", "B", "C", ""])) or None
+        balance = None if when < T0 + timedelta(days=30) or rng.random() < 0.6 else float(rng.integers(1, 900))
+        rows.append((f"t{k:03d}", account, None if rng.random() < 0.02 else when, float(rng.integers(1, 500)), int(rng.random() < 0.2), balance))
+    return rows
+
+
+def test_stretches_of_busy_accounts_change_nothing(spark):
+    for schema, width in ((TX + ", balance double", 6), (TX, 5)):
+        df = tx(spark, [r[:width] for r in _uneven_rows()], schema)
+        whole, cut, some = ({r.transaction_id: r for r in features.build_features(df, 300.0, busy=most).collect()} for most in (10**6, 0, 60))
+        assert set(whole) == set(cut) == set(some) and len(whole) == 400
+        for other in (cut, some):
+            for key, row in whole.items():
+                for c, value in row.asDict().items():
+                    assert other[key][c] == (pytest.approx(value, abs=1e-9) if isinstance(value, float) else value), (key, c)
+
+
+def test_history_summary_against_all_pairs(spark):
+    from riskweave.operators.payload import history_summary
+
+    rows = _uneven_rows(250)
+    target = rows[::3] + [("new", "D", T0, 1.0, 0, None), ("later", "B", T0 + timedelta(days=900), 1.0, 0, None)]
+    schema = TX + ", balance double"
+    got = {r.transaction_id: r for r in history_summary(tx(spark, target, schema), tx(spark, rows, schema)).collect()}
+    assert len(got) == len(target)
+    for key, account, at, *_ in target:
+        past = [r for r in rows if account is not None and at is not None and r[1] == account and r[2] is not None and r[2] <= at]
+        recent = [r[3] for r in past if r[2] >= at - timedelta(days=30)]
+        r = got[key]
+        assert (r.tx_count_30d, r.max_amount_30d, r.lifetime_tx_count, r.lifetime_fraud_count) == (len(recent), max(recent, default=0.0), len(past), sum(x[4] for x in past))
+        assert r.avg_amount_30d == pytest.approx(sum(recent) / len(recent) if recent else 0.0)
+
+
 def test_standardize_errors_and_coercion(spark):
     with pytest.raises(ValueError, match="1 timestamps"):
         standardize(spark.createDataFrame([("soon", "1")], "timestamp string, amount string"))
