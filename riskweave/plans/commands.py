@@ -1,4 +1,4 @@
-"""Commands: generate transactions, train an engine and write its reports, simulate, show the dashboard's data.
+"""Commands: generate transactions, train an engine and write its reports, simulate, show the dashboard's data, serve.
 
     spark-submit riskweave/plans/commands.py train --input tx.parquet --output run --train-end 2025-06-30 --validation-end 2025-07-31
 """
@@ -92,6 +92,12 @@ def parser() -> argparse.ArgumentParser:
             t.add_argument("--engine", required=True)
     d = todo.add_parser("dashboard", help="print what a dashboard shows of a run's folder")
     d.add_argument("--folder", required=True)
+    s = todo.add_parser("serve", help="answer scoring requests and show a run over HTTP")
+    s.add_argument("--folder", required=True)
+    s.add_argument("--engine", help="the folder's own by default")
+    s.add_argument("--config")
+    s.add_argument("--host", default="127.0.0.1")
+    s.add_argument("--port", type=int, default=8000)
     return p
 
 
@@ -100,6 +106,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> An
     spark = spark or SparkSession.builder.appName("riskweave").getOrCreate()
     if a.command == "dashboard":
         return dashboard(spark, a.folder)
+    if a.command == "serve":
+        from riskweave.plans.service import Service, server
+
+        return server(Service.load(spark, a.folder, a.engine, load_config(a.config) if a.config else EngineConfig()), a.host, a.port).serve_forever()
     return {"generate": generate, "train": train, "simulate": simulated}[a.command](spark, a)
 
 

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _roots: set[str] = set()
+_mine = threading.local()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -40,5 +44,19 @@ def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+    if (open_ := getattr(_mine, "paths", None)) is not None:
+        open_.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what this thread has written in it; nothing made there may be read later."""
+    before, _mine.paths = getattr(_mine, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _mine.paths = _mine.paths, before
+        for path in paths:
+            _remove(spark, path)

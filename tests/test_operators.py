@@ -414,3 +414,40 @@ def test_commands_write_reports_and_the_dashboard_shows_them(spark, tmp_path):
     assert shown["metrics"]["test"]["n_samples"] == report["test"]["n_samples"] and len(shown["preview"]) == 15 and sum(shown["bands"].values()) == report["test"]["n_samples"]
     assert "metrics.json" in {a["name"] for a in shown["artifacts"]}
     assert commands.dashboard(spark, f"{tmp_path}/none")["preview"] == []
+    _service_answers(spark, run, f"{tmp_path}/tx.parquet")
+
+
+def _service_answers(spark, run, table):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from riskweave.plans.service import Service, server, shares
+
+    none = Service.load(spark, run, f"{run}/no_engine")
+    assert none.answer("GET", "/health")[2] == b'{"status": "ok", "model_loaded": false}'
+    assert none.answer("POST", "/score", b'{"transactions": [{}]}')[0] == 503
+    service = Service.load(spark, run)
+    rows = [json.loads(r[0]) for r in spark.read.parquet(table).orderBy("transaction_id").limit(6).selectExpr("to_json(struct(*))").collect()]
+    ask = lambda path, **body: (lambda r: (r[0], json.loads(r[2])))(service.answer("POST", path, json.dumps(body).encode()))
+    status, told = ask("/score", transactions=rows[3:], history=rows[:3], include_analyst_payload=True, top_k=25)
+    assert status == 200 and told["n"] == 3 and {r["transaction_id"] for r in told["scores"]} == {r["transaction_id"] for r in rows[3:]}
+    assert all((r["analyst_payload"] is not None) == (r["risk_band"] == "medium") for r in told["scores"])
+    status, told = ask("/score/analyst", transactions=rows, low_latency_mode=True, include_recent_history=False)
+    assert status == 200 and told["low_latency_mode"] and [r["analyst_payload"]["top_features"] for r in told["scores"]] == [None] * 6 == [r["analyst_payload"]["recent_history"] for r in told["scores"]]
+    status, told = ask("/score/analyst", transactions=rows, top_k=3)
+    assert all(len(r["analyst_payload"]["top_features"]) == 3 and r["analyst_payload"]["recent_history"]["lifetime_tx_count"] >= 1 for r in told["scores"])
+    assert [ask("/score", transactions=[])[0], ask("/score", transactions=rows, top_k=0)[0], ask("/score", transactions=[{"a": 1}])[0], service.answer("POST", "/score", b"{")[0]] == [400] * 4
+    bad = ({"top_k": 21}, {"neighbor_limit": 51}, {"more": 1}, {"transactions": [rows[0] | {"amount": -1}]}, {"transactions": [rows[0] | {"odd": 1}]}, {"transactions": [1]})
+    assert [ask("/score/analyst", **({"transactions": rows} | b))[0] for b in bad] == [422] * len(bad)
+    assert service.answer("GET", "/artifacts/metrics.json")[2].startswith(b"{") and service.answer("GET", "/artifacts/../tx.parquet")[0] == 404
+    assert shares({"low": 3, "high": 1}) == {"low": 0.75, "high": 0.25} and shares({}) == {}
+    http = server(service, port=0)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{http.server_address[1]}"
+    page = urllib.request.urlopen(f"{at}/dashboard").read().decode()
+    assert "Risk bands, test" in page and "transaction_splitting" in page
+    with pytest.raises(urllib.error.HTTPError, match="404"):
+        urllib.request.urlopen(f"{at}/other")
+    http.shutdown()
+    http.server_close()
