@@ -17,6 +17,9 @@ be one unbounded task: the strings around it are compared by 128-bit BLAKE2b dig
 are spread over all buckets.
 
 A long text is read in parts that overlap by LENGTH - 1 bytes; each string start is in one.
+Long runs of one byte, or of a period up to PERIODS bytes, would have a representative every few
+bytes: there the strings past the first two periods, which repeat the one a period before, go
+at once, and the first two periods stand for them.
 
 Defined cases: a null text is empty; texts under LENGTH bytes lose nothing but count for
 none either. Rows with a null doc_id take part like others. Repeated rows repeat each
@@ -39,6 +42,9 @@ SPAN = LENGTH - GRAM + 1
 SHALLOW = 96
 #: Different stretches around a gram past which they aren't gathered; those of a group that are read off in pairs.
 HOT, PAIRS = 50_000, 48
+PERIODS = 8
+#: Bits for a place in a part; the same in all parts, so that equal strings choose alike.
+PLACE_BITS = (CHUNK_BYTES + LENGTH).bit_length()
 
 
 def representatives(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -52,7 +58,7 @@ def representatives(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
         return none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     sums, m = prefix_hash(data), n - GRAM + 1
     grams = mix((sums[GRAM:] - sums[:m]) * powers(n)[1][:m])
-    low = np.uint64(m.bit_length())
+    low = np.uint64(max(m.bit_length(), PLACE_BITS))
     order = (grams >> low << low) | np.arange(m, dtype=np.uint64)
     tiled = np.full(-(-m // SPAN) * SPAN, np.iinfo(np.uint64).max, np.uint64)
     tiled[:m] = order
@@ -78,6 +84,28 @@ def representatives(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return at, first, last, mix(grams[at] ^ np.uint64(0x94D049BB133111EB)), mix(span_hash(sums, first, last + LENGTH) ^ (at - first).astype(np.uint64))
 
 
+def echoes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each byte, whether the string there equals those one and two periods before it, in one run of a short period."""
+    n = len(data)
+    out = np.zeros(n, bool)
+    cuts = offsets[1:-1]
+    for p in range(1, PERIODS + 1):
+        if n < LENGTH + 2 * p:
+            break
+        same = data[:-p] == data[p:]
+        for back in range(1, p + 1):
+            at = cuts - back
+            same[at[(at >= 0) & (at < len(same))]] = False
+        if not same[: len(same) // 64 * 64].reshape(-1, 64).all(1).any():
+            continue  # a long enough run fills some aligned 64 places
+        change = np.flatnonzero(np.diff(same, prepend=False, append=False))
+        begin, end = change[::2], change[1::2]
+        enough = end - begin >= LENGTH + p
+        for s, e in zip(begin[enough].tolist(), end[enough].tolist(), strict=True):
+            out[s + 2 * p : e + p - LENGTH + 1] = True
+    return out
+
+
 def _blind_trie(strings: list[bytes]) -> list[int]:
     """The strings' order, by a trie that holds only branching depths and bytes; strings have one length."""
     length = len(strings[0])
@@ -276,12 +304,15 @@ class Block:
         if not represent:
             return
         parts: list[list] = [[], [], [], [], []]
+        echo = echoes(self.data, self.offsets)
         for a, b in self._pieces():
             inner = self.offsets[np.searchsorted(self.offsets, a, "left") : np.searchsorted(self.offsets, b, "right")]
             inner = np.unique(np.concatenate([[a], inner, [b]])) - a
             found = representatives(self.data[a:b], inner)
+            echoed = np.concatenate([[0], np.cumsum(echo[a:b])])
+            own = echoed[found[2] + 1] - echoed[found[1]] <= found[2] - found[1]
             for k, x in enumerate(found):
-                parts[k].append(x + a if k < 3 else x)
+                parts[k].append(x[own] + a if k < 3 else x[own])
         self.place, self.first, self.last = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts[:3])
         self.grams, self.names = (np.concatenate(p) if p else np.zeros(0, np.uint64) for p in parts[3:])
 
@@ -384,6 +415,9 @@ def _sorted_out(keys: list[np.ndarray], loads: list[bytes], stages: list[int]) -
 def removed_bytes(block: Block, answers: dict[int, bytes]) -> np.ndarray:
     """For each byte of the block, whether it goes."""
     edge = np.zeros(len(block.data) + 1, np.int32)
+    echo = np.flatnonzero(echoes(block.data, block.offsets))
+    edge[echo] += 1
+    edge[echo + LENGTH] -= 1
     told = np.frombuffer(answers.get(rounds.NOTE, b""), "<i8")
     if len(told):
         n, m = told[:2].tolist()

@@ -82,6 +82,29 @@ def test_suffix_dedup_against_brute_force(spark, odd, monkeypatch, hot):
     assert Counter(tuple(r) for r in suffix.deduplicate(df, hot=hot).collect()) == _wanted_bytes(df)
 
 
+def test_suffix_dedup_of_periodic_runs(spark, monkeypatch):
+    """Runs of one byte and of short periods, alone, embedded, side by side at document borders, and up to parts' ends."""
+    once = ["a" * n for n in (199, 200)]
+    runs = [unit * (n // len(unit)) + unit[: n % len(unit)] for unit in ("b", "xy", "xyx", "12345678", "123456789") for n in (201, 204, 430)]
+    within = [f"{prose(k, 25)}{'=' * n}{prose(50 + k, 25)}" for k, n in enumerate((198, 200, 201, 202, 203, 330))]
+    mixed = ["=" * 240 + "-" * 240 + "=-" * 150, "-" * 120 + "=" * 120, "", "b" * 150, "b" * 150, "a" * 200 + "c"]
+    texts = once + runs + within + mixed
+    noise = "".join(map(chr, np.random.default_rng(4).integers(97, 123, suffix.CHUNK_BYTES + 1000).tolist()))
+    at = suffix.CHUNK_BYTES - 250
+    across = noise[:at] + "=-" * 300 + noise[at:]  # the run crosses the border of two parts
+    tables = [docs_of(spark, t) for t in (texts, ["b" * 300], ["cd" * 150 + prose(3, 40)], [across, "-=" * 101])]
+    for size in (rounds.BLOCK_BYTES, 700):
+        monkeypatch.setattr(rounds, "BLOCK_BYTES", size)
+        for df in tables[: 4 if size > 700 else 3]:
+            assert Counter(tuple(r) for r in suffix.deduplicate(df).collect()) == _wanted_bytes(df)
+
+
+def test_suffix_dedup_of_a_long_run(spark):
+    """Eight million equal bytes have few representatives."""
+    (row,) = suffix.deduplicate(docs_of(spark, ["a" * 8_000_000])).collect()
+    assert (row.n_bytes, row.n_removed, row.n_spans) == (8_000_000, 8_000_000, 1)
+
+
 def test_suffix_dedup_on_a_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     assert Counter(tuple(r) for r in suffix.deduplicate(df).collect()) == _wanted_bytes(df)
