@@ -173,13 +173,23 @@ def tie_exact(df: DataFrame, window: str, account: str = "account_id", ts: str =
 
 
 def tie_exact_median(df: DataFrame, window: str, account: str = "account_id", ts: str = "timestamp", tie: str = "transaction_id") -> DataFrame:
-    """df with tie_median: the median over the tie-exact frame, for which the frame's rows are gathered."""
-    rows = F.collect_list(F.struct(micros(ts).alias("t"), F.col(tie).alias("k"), F.col("amount").alias("v"))).over(frame(window, account, ts))
-    seen = F.filter("__rows", lambda r: (r["t"] < micros(ts)) | (r["k"] <= F.col(tie)))
-    out = df.withColumn("__rows", rows).withColumn("__v", F.array_sort(F.transform(seen, lambda r: r["v"])))
-    n = F.size("__v")
-    mid = (F.element_at("__v", F.floor((n + 1) / 2).cast("int")) + F.element_at("__v", F.floor((n + 2) / 2).cast("int"))) / 2
-    return out.withColumn("tie_median", mid).drop("__rows", "__v")
+    """df with tie_median: the median over the tie-exact frame, null amounts left out.
+
+    The last row of an instant sees its whole frame. Only rows with later ones at their instant
+    meet their frame's rows by a join on account and stretch; no frame is held in a row.
+    """
+    size = MICROS[window]
+    after = Window.partitionBy(account, micros(ts)).orderBy(tie).rowsBetween(1, Window.unboundedFollowing)
+    out = df.withColumns({"__later": F.count(F.lit(1)).over(after) > 0, "__median": F.percentile("amount", F.lit(0.5)).over(frame(window, account, ts))})
+    at = [F.col(account).alias("__a"), micros(ts).alias("__t"), F.col(tie).alias("__k")]
+    early = out.filter("__later").select(*at, F.floor(micros(ts) / F.lit(size)).alias("__part")).distinct()
+    seen = _with_halo(df.select(account, ts, tie, "amount"), window, ts).select(F.col(account).alias("a"), micros(ts).alias("t"), F.col(tie).alias("k"), "amount", F.col("__part").alias("part"))
+    before = (F.col("t") < F.col("__t")) | ((F.col("t") == F.col("__t")) & (F.col("k") <= F.col("__k")))
+    met = early.join(seen, F.col("__a").eqNullSafe(F.col("a")) & (F.col("__part") == F.col("part")) & (F.col("t") > F.col("__t") - size) & before)
+    met = met.groupBy("__a", "__t", "__k").agg(F.percentile("amount", F.lit(0.5)).alias("__exact"))
+    same = F.col(account).eqNullSafe(F.col("__a")) & (micros(ts) == F.col("__t")) & (F.col(tie) == F.col("__k"))
+    out = out.join(met, same, "left").withColumn("tie_median", F.when(F.col("__later"), F.col("__exact")).otherwise(F.col("__median")))
+    return out.drop("__later", "__median", "__a", "__t", "__k", "__exact")
 
 
 def split_timeline(df: DataFrame, window: str, values: dict[str, Column | None], account: str = "account_id", ts: str = "timestamp") -> DataFrame:

@@ -40,6 +40,15 @@ def test_ties_count_by_position(spark):
     assert [r.tie_count for r in got] == [1, 1, 2, 3, 1]
 
 
+def test_tie_exact_medians_against_all_pairs(spark):
+    rows = [r[:5] for r in _uneven_rows(300) if r[2] is not None]
+    got = features.tie_exact_median(tx(spark, rows), "7D").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        seen = [x[3] for x in rows if x[1] == r.account_id and r.timestamp - timedelta(days=7) < x[2] and (x[2] < r.timestamp or (x[2] == r.timestamp and x[0] <= r.transaction_id))]
+        assert r.tie_median == np.median(seen)
+
+
 def test_forward_filled_balance_counts_again(spark):
     rows = [(str(k), "A", T0 + timedelta(hours=k), 5.0, 0, b) for k, b in enumerate([None, 10.0, None, 40.0])]
     got = features.build_features(tx(spark, rows, TX + ", balance double"), 9.0).orderBy("transaction_id").collect()
