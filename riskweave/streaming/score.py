@@ -11,16 +11,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from riskweave.sources.scratch import released
+
 
 def score_stream(stream: DataFrame, predict: Callable[[DataFrame, DataFrame | None], DataFrame], history: DataFrame, output: str, checkpoint: str, lookback_days: int = 30) -> StreamingQuery:
-    """Appends each micro-batch's scored rows to output; history further back than a frame reaches is not read."""
+    """Writes each micro-batch's scored rows to its own batch_id below output; history further back than a frame reaches is not read.
+
+    A batch that is run again after a failure takes its own place. What it wrote for itself is removed with it.
+    """
 
     def one(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
         first = batch.agg(F.min("timestamp")).first()[0]
         known = history.filter(F.col("timestamp") >= F.lit(first) - F.make_dt_interval(F.lit(lookback_days)))
-        predict(batch, known).write.mode("append").parquet(output)
+        with released(batch.sparkSession):
+            predict(batch, known).write.mode("overwrite").parquet(f"{output.rstrip('/')}/batch_id={number}")
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
