@@ -364,6 +364,50 @@ def test_betweenness_counts_shortest_paths(spark, monkeypatch):
     assert {r.graph_betweenness for r in graph.betweenness(nodes(spark, df), df, limit=5).collect()} == {0.0}
 
 
+@pytest.mark.parametrize("weights", ["equal", "few", "any"])
+def test_betweenness_with_many_accounts_of_the_same_links(spark, monkeypatch, weights):
+    monkeypatch.setattr(graph, "SOURCES", 4)
+    rows = [(a, b, {"equal": 2.0, "few": 1.0 + int(a[1:]) % 2, "any": w}[weights]) for a, b, w in plain_graph(9, 0.4, 3)]
+    hub, other = rows[0][:2]
+    rows += [(f"t{k}", v, 2.0) for k in range(5) for v in (hub, other)] + [(f"u{k}", hub, 2.0) for k in range(4)] + [("z", hub, 0.0)] * (weights == "any")
+    df = spark.createDataFrame(rows, "src string, dst string, weight double")
+    got = {r.id: r.graph_betweenness for r in graph.betweenness(nodes(spark, df), df).collect()}
+    ids = sorted(got)
+    near = {v: {} for v in ids}
+    for a, b, w in rows:
+        near[a][b] = near[b][a] = w
+    dist = {u: {v: 0.0 if u == v else near[u].get(v, math.inf) for v in ids} for u in ids}
+    for k in ids:
+        for u in ids:
+            for v in ids:
+                dist[u][v] = min(dist[u][v], dist[u][k] + dist[k][v])
+
+    def paths(s, t, seen):
+        if s == t:
+            yield seen
+            return
+        for u, w in near[s].items():
+            if u not in seen and abs(w + dist[u][t] - dist[s][t]) < 1e-9:
+                yield from paths(u, t, (*seen, u))
+
+    want = dict.fromkeys(ids, 0.0)
+    for s in ids:
+        for t in ids:
+            if s != t and dist[s][t] < math.inf:
+                every = list(paths(s, t, (s,)))
+                for p in every:
+                    for v in p[1:-1]:
+                        want[v] += 1 / len(every) / ((len(ids) - 1) * (len(ids) - 2))
+    assert all(abs(got[v] - want[v]) < 1e-9 for v in ids)
+
+
+def test_betweenness_starts_once_for_all_accounts_of_the_same_links(spark):
+    rows = [(f"s{k}", h, 1.0) for k in range(500) for h in (f"h{k % 5}", f"h{(k + 1) % 5}")]
+    df = spark.createDataFrame(rows, "src string, dst string, weight double")
+    twins, links = graph._twins(df)
+    assert twins.select("twin").distinct().count() == 10 and links.count() == 10
+
+
 def test_louvain_by_joins_finds_the_cliques(spark):
     cliques = [[f"{c}{k}" for k in range(6)] for c in "abcd"]
     rows = [(u, v, 1.0) for c in cliques for i, u in enumerate(c) for v in c[i + 1 :]] + [(cliques[i][0], cliques[(i + 1) % 4][1], 0.1) for i in range(4)]
