@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from riskweave.config import RiskConfig, from_dict, load_config
 from riskweave.functions.quantiles import exact_quantiles
+from riskweave.functions.scalar import steady_sum
 from riskweave.operators import features, graph, models, risk, simulate
 from riskweave.operators.components import components
 from riskweave.operators.schema import standardize, temporal_split
@@ -123,6 +124,36 @@ def test_missing_counterparty_is_no_hub(spark):
     assert [tuple(r) for r in graph.account_edges(df).collect()] == [("A", "B", 4.0, 1.0, 0.0)]
 
 
+def test_neighbors_of_equal_transfers_rank_by_id_whatever_their_order(spark):
+    amounts = {"B": [0.3, 0.2, 0.1], "C": [0.1, 0.2, 0.3], "D": [0.2, 0.1, 0.3]}  # added in turn: 0.6, and 0.6 and a bit
+    rows = [(f"{b}{k}", "A", T0, x, 0, b) for b, xs in amounts.items() for k, x in enumerate(xs)]
+    df = tx(spark, rows, TX + ", counterparty_account_id string").coalesce(1)
+    got = graph.top_neighbors(graph.account_edges(df)).filter("id = 'A'").orderBy("rank").collect()
+    assert [r.account_id for r in got] == ["B", "C", "D"] and len({r.weight for r in got}) == 1
+
+
+def test_steady_sum_is_exact_in_any_order(spark):
+    import random
+
+    rng = random.Random(4)
+    groups = {
+        "cents": [round(rng.uniform(0.01, 900), 2) for _ in range(900)], "both": [round(rng.uniform(-900, 900), 2) for _ in range(900)], "refund": [-0.01], "small": [0.001, -0.1, 0.07],
+        "none left": [0.1, 0.2, -0.1, -0.2], "large": [2.0**61, 2.0**60, -(2.0**61), 0.5], "fractions": [rng.random() for _ in range(900)], "nulls": [None, 2.5, None], "nothing": [None, None],
+    }
+    plain = {"huge": [1e300, 1e300, 5.0], "endless": [math.inf, 1.0], "beyond": [2.0**61.9] * 40, "odd": [math.nan, 1.0]}
+    seen = []
+    for order in range(3):
+        rows = [(g, x) for g, xs in (groups | plain).items() for x in xs]
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "g string, x double").repartition(1 + 3 * order)
+        seen.append({r.g: r.s for r in df.groupBy("g").agg(steady_sum(F.col("x")).alias("s")).collect()})
+    for g, xs in groups.items():
+        want = math.fsum(x for x in xs if x is not None) if any(x is not None for x in xs) else None
+        assert {s[g] for s in seen} == {seen[0][g]} and (seen[0][g] == want or abs(seen[0][g] - want) <= math.ulp(want)), g
+    assert seen[0]["refund"] == -0.01 and seen[0]["huge"] == 2e300 and seen[0]["endless"] == math.inf and seen[0]["odd"] != seen[0]["odd"]
+    assert seen[0]["beyond"] == pytest.approx(40 * 2.0**61.9)
+
+
 def test_shared_attribute_groups_beyond_the_limit_tie_nobody(spark):
     rows = [(f"a{k}", "big") for k in range(51)] + [(f"b{k}", "fit") for k in range(50)]
     got = graph.shared_attribute_pairs(spark.createDataFrame(rows, "account_id string, device_id string"))
